@@ -1 +1,8 @@
 """Clustering of text corpora with Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with their code, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
