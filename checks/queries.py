@@ -30,7 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SMALL = params.ChunkSettings(200, 300, 50)
 DEFAULT = params.ChunkSettings()
 HASHED = hashed_words(O.DIM)
-TIE_DIGITS = 9
+TIE_DIGITS = 9  # distances are rounded to this on both sides, before anything is compared
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -375,13 +375,13 @@ def initial_centroids(spark, sf):
 @register(
     "nearest_centroids",
     f"WITH {O.EMBEDDED}, {O.first_centroids()} SELECT doc_id, i AS chunk_index, b.c::INT AS cluster_id, "
-    f"round(b.d, 6) AS distance FROM ({O.nearest('init')})",
+    f"b.d AS distance FROM ({O.nearest('init')})",
 )
 def nearest_centroids(spark, sf):
     rows = keyed(spark, sf)
     first = K.initial_centroids(rows, ["doc_id"])
     placed = K.assign(rows, first, ["doc_id"], tie_digits=TIE_DIGITS)
-    return placed.select("doc_id", "chunk_index", "cluster_id", F.round("distance", 6).alias("distance"))
+    return placed.select("doc_id", "chunk_index", "cluster_id", "distance")
 
 
 @register(
@@ -401,20 +401,18 @@ def updated_centroids(spark, sf):
 
 _KMEANS_SQL = (
     f"WITH RECURSIVE {O.EMBEDDED}, {O.kmeans()} "
-    "SELECT doc_id, i AS chunk_index, c::INT AS cluster_id, round(d, 6) AS distance FROM placed"
+    "SELECT doc_id, i AS chunk_index, c::INT AS cluster_id, d AS distance FROM placed"
 )
 
 
 @register("kmeans", _KMEANS_SQL)
 def kmeans(spark, sf):
-    run = K.kmeans(keyed(spark, sf), ["doc_id"], tie_digits=TIE_DIGITS)
-    return run.withColumn("distance", F.round("distance", 6))
+    return K.kmeans(keyed(spark, sf), ["doc_id"], tie_digits=TIE_DIGITS)
 
 
 @register("kmeans_by_joins", _KMEANS_SQL)
 def kmeans_by_joins(spark, sf):
-    run = K.kmeans_by_joins(keyed(spark, sf), ["doc_id"], tie_digits=TIE_DIGITS)
-    return run.withColumn("distance", F.round("distance", 6))
+    return K.kmeans_by_joins(keyed(spark, sf), ["doc_id"], tie_digits=TIE_DIGITS)
 
 
 _CHUNK_KMEANS_SRC = (
@@ -426,12 +424,11 @@ _CHUNK_KMEANS_SRC = (
 @register(
     "chunk_kmeans",
     f"WITH RECURSIVE {_CHUNK_KMEANS_SRC}, {O.kmeans()} "
-    "SELECT doc_id, i AS chunk_index, c::INT AS cluster_id, round(d, 6) AS distance FROM placed",
+    "SELECT doc_id, i AS chunk_index, c::INT AS cluster_id, d AS distance FROM placed",
 )
 def chunk_kmeans(spark, sf):
     rows = V.embed_column(P.chunk_documents(documents(spark, sf), chunking=SMALL), HASHED, "chunk")
-    run = K.explode_runs(K.kmeans_in_groups(rows, ["doc_id"], tie_digits=TIE_DIGITS), "chunk_index")
-    return run.withColumn("distance", F.round("distance", 6))
+    return K.explode_runs(K.kmeans_in_groups(rows, ["doc_id"], tie_digits=TIE_DIGITS), "chunk_index")
 
 
 @register(
