@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as St
 
 from corpusweave import params
 from corpusweave.functions import text as T
@@ -56,7 +57,7 @@ def model_embedder(
                     vectors[i] = vector
             yield pd.Series(vectors, dtype=object)
 
-    return Embedder(name, F.pandas_udf(embed_batches, "array<float>"))
+    return Embedder(name, F.pandas_udf(embed_batches, St.ArrayType(St.FloatType())))
 
 
 def hashed_words(dim: int = 64) -> Embedder:
