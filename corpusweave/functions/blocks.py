@@ -23,8 +23,8 @@ BLOCK_TYPE = (
 def _block(cluster_id: Column, indices: Column, texts: Column, members: Column) -> Column:
     return F.struct(
         cluster_id.alias("cluster_id"),
-        F.element_at(indices, 1).alias("representative_index"),
-        F.element_at(texts, 1).alias("representative_sentence"),
+        F.get(indices, 0).alias("representative_index"),
+        F.get(texts, 0).alias("representative_sentence"),
         texts.alias("representative_sentences"),
         members.alias("member_indices"),
     )

@@ -1,6 +1,8 @@
 """Small single-machine versions of the definitions, to check the Spark jobs against."""
 
+import functools
 import math
+import operator
 import re
 
 import numpy as np
@@ -53,8 +55,11 @@ def lloyd(vectors, max_clusters, rounds=50):
     n = len(vectors)
     k = min(max_clusters, max(1, math.ceil(math.sqrt(n))), n)
 
+    def add(values):  # sum() compensates rounding from Python 3.12 on; a loop does not
+        return functools.reduce(operator.add, values, 0.0)
+
     def gap(a, b):
-        return sum((x - y) ** 2 for x, y in zip(a, b))
+        return add((x - y) ** 2 for x, y in zip(a, b))
 
     centres, where = [list(v) for v in vectors[:k]], [0] * n
     for _ in range(rounds):
@@ -64,7 +69,7 @@ def lloyd(vectors, max_clusters, rounds=50):
         where = new
         for c in range(k):
             own = [v for v, w in zip(vectors, where) if w == c]
-            centres[c] = [sum(col) / len(own) for col in zip(*own)] if own else list(vectors[c % n])
+            centres[c] = [add(col) / len(own) for col in zip(*own)] if own else list(vectors[c % n])
     return where, [gap(v, centres[w]) for v, w in zip(vectors, where)]
 
 

@@ -52,7 +52,7 @@ def test_round_limit_measures_by_the_last_update(spark):
             assert got[0] == where and got[1] == pytest.approx(gaps, abs=1e-12)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(seed=st.integers(0, 10**6))
 def test_groups_match_a_plain_loop_to_the_last_bit(spark, seed):
     rng = random.Random(seed)

@@ -86,7 +86,7 @@ def test_large_document_in_one_row(spark):
 ALPHABET = ["a", "bc", "é", "한글", "😀", ".", "!", "。", "？", " ", "  ", "\n", "\n\n", "\r\n", "\t", "　", "\x1c", " ", "\x85"]
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(seed=st.integers(0, 10**6), low=st.integers(1, 20), extra=st.integers(0, 20), overlap=st.integers(-2, 25))
 def test_chunks_follow_the_rules(spark, seed, low, extra, overlap):
     rng = random.Random(seed)
