@@ -18,8 +18,9 @@ def join_per_key(
     *,
     spread_by: str,
     row_bytes: Column,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of ``rows`` with ``per_key``, which holds one row per key.
+    """Join ``rows`` with ``per_key``, which holds at most one row per key; ``inner`` or ``left``.
 
     The small side is measured. Up to ``MAX_BROADCAST_BYTES`` it is broadcast and the rows stay
     where they are; beyond, both sides are shuffled by key and salt, so that the rows of one key go
@@ -28,7 +29,7 @@ def join_per_key(
     keys = list(keys)
     size = per_key.agg(F.sum(row_bytes)).first()[0] or 0
     if size <= MAX_BROADCAST_BYTES:
-        return rows.join(F.broadcast(per_key), keys)
+        return rows.join(F.broadcast(per_key), keys, how)
     salted = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, [*keys, "_salt"]).drop("_salt")
+    return spread.join(salted, [*keys, "_salt"], how).drop("_salt")

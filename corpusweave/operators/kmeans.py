@@ -38,7 +38,8 @@ def split_by_path(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of keys that are sampled and rows of keys that are clustered, each with its ``n``."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    counted = df.join(sizes, list(keys))
+    spread_by = next((c for c in df.columns if c not in keys), keys[0])
+    counted = join_per_key(df, sizes, keys, spread_by=spread_by, row_bytes=F.lit(64))
     return counted.filter(F.col("n") < min_sentences), counted.filter(F.col("n") >= min_sentences)
 
 
@@ -152,8 +153,11 @@ def kmeans(
     n_large = large.count()
     if not n_large:
         return explode_runs(kmeans_in_groups(df, keys, **settings), index, carry)
-    large = cut(large)
-    small_rows, large_rows = df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
+    # The keys that are large are the hot ones: they must not be brought together to be told apart.
+    large = cut(large.withColumn("_large", F.lit(True)))
+    marked = join_per_key(df, large, keys, spread_by=index, row_bytes=F.lit(64), how="left")
+    small_rows = marked.filter(F.col("_large").isNull()).drop("_large")
+    large_rows = marked.filter("_large").drop("_large")
     grouped = explode_runs(kmeans_in_groups(small_rows, keys, **settings), index, carry)
     return grouped.unionByName(kmeans_by_joins(large_rows, keys, **settings))
 
