@@ -24,7 +24,8 @@ PERCENT = 75
 ROWS = 3
 COLLECTIONS = 24
 SEED = 20240607
-_BINS = 64
+#: Of the bit map of a set's hashes.
+_BITS = 1024
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,15 +99,18 @@ def _sets(width: int):
             for part, data, offsets in slices(batch.column("text")):
                 value, bounds = shingle_sets(data, offsets, width)
                 n = len(bounds) - 1
-                place = np.repeat(np.arange(n), np.diff(bounds)) * _BINS + (value >> np.uint64(58)).astype(np.int64)
-                bins = np.bincount(place, minlength=n * _BINS).astype(np.int64)
+                bits = np.zeros(n * _BITS, dtype=bool)
+                bits[np.repeat(np.arange(n), np.diff(bounds)) * _BITS + (value >> np.uint64(54)).astype(np.int64)] = True
+                words = np.packbits(bits).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("_id").slice(part.start, part.stop - part.start),
+                        pa.array(_per_text(np.bitwise_xor, value, bounds).view(np.int64)),
+                        pa.array(np.diff(bounds).astype(np.int64)),
                         _lists(value.view(np.int64), bounds, pa.int64()),
-                        _lists(bins, np.arange(n + 1) * _BINS, pa.int32()),
+                        _lists(words, np.arange(n + 1) * (_BITS // 64), pa.int64()),
                     ],
-                    names=["rep", "items", "bins"],
+                    names=["rep", "f1", "n", "items", "bits"],
                 )
 
     return run
@@ -120,28 +124,34 @@ def _near_in_size(left: Column, right: Column, percent: int) -> Column:
     return F.least(left, right) * 100 >= F.greatest(left, right) * percent
 
 
+def _may_reach(bits_a: str, bits_b: str, n: Column, percent: int) -> Column:
+    """Bits in which two maps differ are a lower bound of the items in which the sets do."""
+    apart = F.aggregate(
+        F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+    )
+    return apart * (100 + percent) <= n * (100 - percent)
+
+
+def _side(table: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    return table.select(F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough.
 
-    Counts of shingles in 64 ranges of hashes bound the intersection from above; only pairs within
-    the bound have their sets brought together.
+    Only the sets of pairs that may reach the similarity by their bit maps are brought together.
     """
-    bins = sets.select("rep", F.size("items").alias("n"), "bins")
-    side = lambda table, name: table.select(*(F.col(c).alias(name if c == "rep" else f"{c}_{name}") for c in table.columns))
-    most = F.aggregate(
-        F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x
-    )
+    small = ["n", "bits"]
     likely = (
-        pairs.join(side(bins, "a"), "a")
-        .join(side(bins, "b"), "b")
-        .where(_reaches(most, F.col("n_a"), F.col("n_b"), percent))
+        pairs.join(_side(sets, "a", small), "a")
+        .join(_side(sets, "b", small), "b")
+        .where(_may_reach("bits_a", "bits_b", F.col("n_a") + F.col("n_b"), percent))
         .select("a", "b")
     )
-    full = sets.select("rep", "items")
     common = F.size(F.array_intersect("items_a", "items_b"))
     return (
-        likely.join(side(full, "b"), "b")
-        .join(side(full, "a"), "a")
+        likely.join(_side(sets, "b", ["items"]), "b")
+        .join(_side(sets, "a", ["items"]), "a")
         .where(_reaches(common, F.size("items_a"), F.size("items_b"), percent))
         .select("a", "b")
     )
@@ -168,9 +178,9 @@ def near_duplicates(
     without a key is linked with nothing and kept, with a null component. Other columns of
     ``docs`` are left out, whatever their names.
 
-    A bucket is first compared with its least member. Only where members are then still apart are
-    those outside the bucket's largest component compared with all members, so that a large group
-    of near copies costs its size, and no candidate is dropped.
+    A bucket is first compared with its least member. Members that are then still apart are
+    compared exactly, by rare shingles; so no candidate is dropped, and a large group of copies
+    costs its size.
     """
     rows_ = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("text"))
     marked = written(
@@ -192,11 +202,11 @@ def near_duplicates(
     )
     sets = written(
         within(rows_, live.select(F.col("rep").alias("_id")), "_id").mapInArrow(
-            _sets(width), "rep long, items array<long>, bins array<int>"
+            _sets(width), "rep long, f1 long, n long, items array<long>, bits array<long>"
         )
     )
     links = written(_confirmed(first_pairs, sets, percent))
-    more = _still_apart(live, components(links), percent).join(first_pairs, ["a", "b"], "left_anti")
+    more = _still_apart(live, sets, components(links), percent)
     links = links.unionByName(_confirmed(written(more), sets, percent))
     nodes = marked.drop("marks").join(distinct.drop("marks"), same, "left")
     nodes = written(nodes.select("_id", "n_shingles", F.coalesce("rep", "_id").alias("rep")))
@@ -243,29 +253,56 @@ def _buckets(distinct: DataFrame) -> DataFrame:
     return tables.join(least, "bucket")
 
 
-def _still_apart(live: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a < b`` that meet in a bucket but are in different components so far."""
+def _still_apart(live: DataFrame, sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may be similar among sets that met in a bucket but are in different components.
+
+    A crowded bucket may hold very many sets just below the similarity, so its pairs are not listed.
+    The sets of such buckets are brought together exactly, by their rarest shingles: two sets that
+    are similar share one of the rarest ``n - least overlap + 1`` of each, in one order of all
+    shingles. A set with too many shingles of its own shares none.
+    """
     member = written(
-        live.select("bucket", "rep", "n")
+        live.select("bucket", "rep")
         .join(placed.withColumnRenamed("node", "rep"), "rep", "left")
         .withColumn("component", F.coalesce("component", "rep"))
     )
-    head = (
-        member.groupBy("bucket", "component")
-        .agg(F.count("*").alias("_n"))
-        .groupBy("bucket")
-        .agg(F.count("*").alias("_parts"), F.max_by("component", F.struct("_n", "component")).alias("head"))
-        .where("_parts > 1")
-        .select("bucket", "head")
+    crowded = (
+        member.groupBy("bucket")
+        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+        .where("_low < _high")
+        .select("bucket")
+    )
+    suspects = member.join(crowded, "bucket").select("rep", "component").distinct()
+    own = sets.join(suspects, "rep")
+    items = written(own.select("rep", "f1", F.explode("items").alias("item")))
+    common = items.groupBy("item").agg(F.count("*").alias("_df")).where("_df > 1")
+    shared = (
+        items.join(common, "item")
+        .groupBy("rep", "f1")
+        .agg(F.sort_array(F.collect_list(F.struct("_df", "item"))).alias("shared"))
     )
-    others = (
-        member.join(head, "bucket")
-        .where("component <> head")
-        .select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("_c"))
+    n = F.col("n")
+    lone = n - F.size("shared")
+
+    def rare(share: int, of: int) -> Column:
+        """How many of the rarest may be needed to meet ``n * share / of`` common items, less the lone ones."""
+        least = F.floor((n * share + (of - 1)) / of)
+        return F.greatest(n - least + 1 - lone, F.lit(0)).cast("int")
+
+    to_probe, to_index = rare(percent, 100), rare(2 * percent, 100 + percent)
+    rarest = written(
+        own.join(shared, ["rep", "f1"])
+        .where(to_probe > 0)
+        .select("rep", "n", "component", "bits", to_index.alias("_index"), F.slice("shared", F.lit(1), to_probe).alias("r"))
+        .select("rep", "n", "component", "bits", "_index", F.posexplode("r").alias("at", "one"))
+        .select("rep", "n", "component", "bits", F.col("one.item").alias("item"), (F.col("at") < F.col("_index")).alias("_first"))
     )
+    shorter = rarest.where("_first").select("item", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component", "bits")))
     return (
-        member.join(others, "bucket")
-        .where((F.col("component") != F.col("_c")) & _near_in_size(F.col("n"), F.col("n_a"), percent))
-        .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+        rarest.join(shorter, "item")
+        .where(F.struct("n_a", "rep_a") < F.struct("n", "rep"))
+        .where((F.col("component") != F.col("component_a")) & _near_in_size(n, F.col("n_a"), percent))
+        .where(_may_reach("bits_a", "bits", F.col("n_a") + n, percent))
+        .select(F.col("rep_a").alias("a"), F.col("rep").alias("b"))
         .distinct()
     )
