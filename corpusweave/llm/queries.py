@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusweave.llm import language
+from corpusweave.llm.decontaminate import contaminated
+from corpusweave.llm.mixing import mix
 from corpusweave.llm.neardup import near_duplicates
+from corpusweave.llm.quality import judge
+from corpusweave.llm.sharding import shuffle_into_shards
 from corpusweave.llm.substring import remove_repeats
 
 
@@ -15,6 +20,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of each document, and whether the base rules and the selected cutoffs keep it."""
+    docs = judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return docs.select("doc_id", *(F.col(f"_quality.{c}").alias(c) for c in counts))
+
+
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words that stay when passages of 13 words and more of earlier documents are taken out."""
     return remove_repeats(_table(spark, folder, "documents")).select(
@@ -22,14 +34,57 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each document, learned from those that are not held out."""
+    docs = _table(spark, folder, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    model = language.fit(docs.where(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), language.predicted(model, F.col("text")).alias("p")).select(
+        "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score")
+    )
+
+
 def op7_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of near-duplicate documents."""
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item, the score and the passage."""
+    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op9_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in eight shards of equal row counts, in random order."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sharded = shuffle_into_shards(
+        _table(spark, folder, "documents").select(
+            "doc_id",
+            "text",
+            (F.octet_length(text) + 1).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+        )
+    )
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op10_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of each document the mix of sources takes."""
+    return mix(_table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_language_id": op6_language_id,
     "op7_minhash_neardup": op7_minhash_neardup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_external_shuffle": op9_external_shuffle,
+    "op10_entropy_mixing": op10_entropy_mixing,
 }
 
 ORACLES: dict[str, str] = {}
