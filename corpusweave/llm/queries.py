@@ -7,19 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import language
+from corpusweave.llm import language, secrets, warc
 from corpusweave.llm.decontaminate import contaminated
+from corpusweave.llm.html import extracted
 from corpusweave.llm.mixing import mix
 from corpusweave.llm.neardup import near_duplicates
 from corpusweave.llm.quality import judge
 from corpusweave.llm.sharding import shuffle_into_shards
 from corpusweave.llm.substring import remove_repeats
+from corpusweave.llm.tables import shared_path
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of each page."""
+    pages = _table(spark, folder, "pages").withColumn("text", extracted(F.col("html")))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of each document, and whether the base rules and the selected cutoffs keep it."""
     docs = judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -34,6 +42,28 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of each document."""
+    docs = secrets.find_secrets(_table(spark, folder, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("_secrets", lambda s: s["kind"] == kind)).cast("long")
+    return docs.select(
+        "doc_id",
+        *(count(i).alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS)),
+        F.sha2(secrets.shown(F.filter("_secrets", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        secrets.shown(F.col("_secrets")).alias("spans"),
+    )
+
+
+def op5_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as WARC records, indexed and read back."""
+    store = shared_path(spark)
+    warc.write_archives(_table(spark, folder, "pages"), f"{store}/archives")
+    warc.write_index(spark, f"{store}/archives", f"{store}/index")
+    return warc.read_records(spark, f"{store}/archives", f"{store}/index", payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of each document, learned from those that are not held out."""
     docs = _table(spark, folder, "documents")
@@ -78,8 +108,11 @@ def op10_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_warc_index": op5_warc_index,
     "op6_language_id": op6_language_id,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
