@@ -37,12 +37,12 @@ _SENT_DDL = "bucket int, docs array<long>, hashes array<{kind}>, marks array<lon
 
 
 def _schema(kind: pa.DataType) -> pa.Schema:
-    """Hashes for a bucket with their documents, or ``marks`` for the one document in ``docs``."""
+    """Hashes for a bucket with their documents, or marks that the documents have been told of already."""
     long = pa.list_(pa.int64())
     return pa.schema([("bucket", pa.int32()), ("docs", long), ("hashes", pa.list_(kind)), ("marks", long)])
 
 
-_TOLD = pa.schema([("_id", pa.int64()), ("marks", pa.list_(pa.int64()))])
+_REPLY = pa.schema([("to", pa.int32()), ("docs", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,13 +69,18 @@ def _groups(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.flatnonzero(begin), np.cumsum(begin) - 1
 
 
-def _by_owner(owner: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each owner with its values."""
-    order = np.argsort(owner, kind="stable")
-    owner, value = owner[order], value[order].view(np.int64)
-    cut = np.r_[np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), len(owner)] if len(owner) else [0]
-    for a, b in zip(cut[:-1], cut[1:]):
-        yield int(owner[a]), value[a:b]
+def _packed(part: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """Columns cut by a number of each place: the number, then a piece of each column."""
+    order = np.argsort(part, kind="stable")
+    columns = [c[order] for c in columns]
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    for number in np.flatnonzero(np.diff(cut)):
+        yield int(number), *(c[cut[number] : cut[number + 1]] for c in columns)
+
+
+def _home(docs: np.ndarray, parts: int) -> np.ndarray:
+    """Where the replies of a document are gathered."""
+    return (mix(docs.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
 def _sendable(value: np.ndarray, owner: np.ndarray, buckets: int, earliest: bool) -> Iterator[tuple]:
@@ -94,21 +99,19 @@ def _sendable(value: np.ndarray, owner: np.ndarray, buckets: int, earliest: bool
         shared = np.zeros(len(begin), dtype=bool)
         shared[group[told]] = True
         told = shared[group]
-    for one, marks in _by_owner(owner[told], value[told]):
-        yield one % buckets, [one], None, marks
+    for home, docs, marks in _packed(_home(owner[told], buckets), buckets, owner[told], value[told].view(np.int64)):
+        yield home, docs, None, marks
     value, owner = value[begin], owner[begin]
-    # Documents together within a bucket, so that their column packs well.
+    order = np.argsort(owner, kind="stable")  # documents together, so that their column packs well
+    value, owner = value[order], owner[order]
     if earliest:
         bucket = ((value >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
         sent = value.view(np.int64)
     else:
         bucket = (value >> np.uint64(32)).astype(np.int64)
         sent = value.astype(np.uint32).view(np.int32)
-    order = np.lexsort((owner, bucket))
-    sent, owner, bucket = sent[order], owner[order], bucket[order]
-    cut = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cut)):
-        yield int(b), owner[cut[b] : cut[b + 1]], sent[cut[b] : cut[b + 1]], None
+    for number, docs, hashes in _packed(bucket, buckets, owner, sent):
+        yield number, docs, hashes, None
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 256) -> Iterator[pa.RecordBatch]:
@@ -165,26 +168,24 @@ def _flat(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _settle(earliest: bool):
+def _settle(earliest: bool, buckets: int):
     """For the hashes of one bucket, tell the documents whose hash another (earlier) one has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            values, owners = [], []
-            for batch in batches:
-                sent = batch.column("hashes").is_valid()
-                told = batch.filter(pc.invert(sent))
-                yield from zip(_flat(told.column("docs")).tolist(), told.column("marks").to_pylist())
-                sent = batch.filter(sent)
-                if sent.num_rows:
-                    value = _flat(sent.column("hashes"))
-                    if not earliest:
-                        high = np.uint64(sent.column("bucket")[0].as_py()) << np.uint64(32)
-                        value = value.view(np.uint32).astype(np.uint64) | high
-                    values.append(value.view(np.uint64))
-                    owners.append(_flat(sent.column("docs")))
-            if not values:
-                return
+        values, owners, marks, docs = [], [], [], []
+        for batch in batches:
+            fresh = batch.column("hashes").is_valid()
+            told, sent = batch.filter(pc.invert(fresh)), batch.filter(fresh)
+            docs.append(_flat(told.column("docs")))
+            marks.append(_flat(told.column("marks")))
+            if sent.num_rows:
+                value = _flat(sent.column("hashes"))
+                if not earliest:
+                    high = np.uint64(sent.column("bucket")[0].as_py()) << np.uint64(32)
+                    value = value.view(np.uint32).astype(np.uint64) | high
+                values.append(value.view(np.uint64))
+                owners.append(_flat(sent.column("docs")))
+        if values:
             value, owner = np.concatenate(values), np.concatenate(owners)
             values, owners = [], []
             order, begin, group = _groups(value, owner)
@@ -194,17 +195,35 @@ def _settle(earliest: bool):
                 shared = np.zeros(len(begin), dtype=bool)
                 shared[group[told]] = True
                 told = shared[group]
-            yield from _by_owner(owner[told], value[told])
-
-        return _batches(rows(), _TOLD, 4096)
+            docs.append(owner[told])
+            marks.append(value[told].view(np.int64))
+        doc, mark = np.concatenate(docs), np.concatenate(marks)
+        yield from _batches(_packed(_home(doc, buckets), buckets, doc, mark), _REPLY)
 
     return run
 
 
-def _told(sent: DataFrame, earliest: bool) -> DataFrame:
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs, marks = [], []
+    for batch in batches:
+        docs.append(_flat(batch.column("docs")))
+        marks.append(_flat(batch.column("marks")))
+    doc, mark = np.concatenate(docs), np.concatenate(marks)
+    order = np.argsort(doc, kind="stable")
+    doc, mark = doc[order], mark[order]
+    begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    bounds = pa.array(np.r_[begin, len(doc)], pa.int32())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(doc[begin]), pa.ListArray.from_arrays(bounds, pa.array(mark))], names=["_id", "marks"]
+    )
+
+
+def _told(sent: DataFrame, earliest: bool, buckets: int) -> DataFrame:
     """``_id, marks``: for each document the hashes it has been told of."""
-    settled = sent.groupBy("bucket").applyInArrow(_settle(earliest), "_id long, marks array<long>")
-    return written(settled.groupBy("_id").agg(F.flatten(F.collect_list("marks")).alias("marks")))
+    settled = sent.groupBy("bucket").applyInArrow(
+        _settle(earliest, buckets), "to int, docs array<long>, marks array<long>"
+    )
+    return written(settled.groupBy("to").applyInArrow(_by_document, "_id long, marks array<long>"))
 
 
 def _marks(column: pa.Array, part: slice) -> tuple[np.ndarray, np.ndarray]:
@@ -308,9 +327,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # About six bytes to a word, three words in seven.
     buckets = volume // 14 // BUCKET_HASHES + 1
-    anchors = _told(texts.mapInArrow(_send_anchors(buckets), _SENT_DDL.format(kind="int")), False)
+    anchors = _told(texts.mapInArrow(_send_anchors(buckets), _SENT_DDL.format(kind="int")), False, buckets)
     marked = within(texts, anchors, "_id").join(anchors, "_id")
-    repeats = _told(marked.mapInArrow(_send_windows(buckets), _SENT_DDL.format(kind="long")), True)
+    repeats = _told(marked.mapInArrow(_send_windows(buckets), _SENT_DDL.format(kind="long")), True, buckets)
     whole = within(texts, repeats, "_id", without=True).mapInArrow(_keep, _DONE_DDL)
     partly = within(texts, repeats, "_id").join(repeats, "_id").mapInArrow(_remove, _DONE_DDL)
     return whole.unionByName(partly).select(

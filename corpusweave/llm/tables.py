@@ -39,8 +39,8 @@ def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Ids that are sent to every task at most, 16 bytes each in memory.
-MAX_SENT_IDS = 4 << 20
+#: Ids that are sent to every task at most; each takes about 100 bytes in memory.
+MAX_SENT_IDS = 512 << 10
 
 
 def within(rows: DataFrame, some: DataFrame, key: str, without: bool = False) -> DataFrame:

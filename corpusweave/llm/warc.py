@@ -276,7 +276,7 @@ def _read_ranges(spark: SparkSession, archives: str, entries: DataFrame, payload
     ranges = entries.groupBy(F.col("file").alias("path")).agg(
         F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges")  # of one file, so bounded
     )
-    if entries.count() <= MAX_SENT_IDS // 2:
+    if entries.count() <= MAX_SENT_IDS:
         ranges = F.broadcast(ranges)
     return (
         _archives(spark, archives)
