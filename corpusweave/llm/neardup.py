@@ -209,7 +209,7 @@ def near_duplicates(
     more = _still_apart(live, sets, components(links), percent)
     links = links.unionByName(_confirmed(written(more), sets, percent))
     nodes = marked.drop("marks").join(distinct.drop("marks"), same, "left")
-    nodes = written(nodes.select("_id", "n_shingles", F.coalesce("rep", "_id").alias("rep")))
+    nodes = written(nodes.select("_id", "n_shingles", F.expr("if(_id is null, null, coalesce(rep, _id))").alias("rep")))
     low = nodes.groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_high")).where("a < _high")
     repeated = nodes.join(low, "_id").select("a", F.col("rep").alias("b"))
     groups = components(links.unionByName(repeated))
