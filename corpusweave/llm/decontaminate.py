@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.words import find_words, slices, windows
+from corpusweave.llm.words import Words, find_words, slices, windows
 
 SEED_WORDS = 3
 #: A seed may be expected once in so many words of unrelated text.
@@ -46,7 +46,6 @@ class Items:
     seeds: np.ndarray | None = None
     item: np.ndarray | None = None
     place: np.ndarray | None = None
-    table: np.ndarray | None = None
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Items]:
@@ -118,7 +117,7 @@ def _choose_seeds(items: Items, frequency: dict[int, int]) -> None:
     seeds, owners, places = [], [], []
     for number, words in enumerate(items.words):
         width = min(SEED_WORDS, len(words))
-        first, value = windows(find_one(words), words, width)
+        first, value = windows(_one_text(words), words, width)
         chance = np.ones(len(first))
         for k in range(width):
             chance *= share[np.searchsorted(items.vocabulary, words[first + k])]
@@ -130,13 +129,10 @@ def _choose_seeds(items: Items, frequency: dict[int, int]) -> None:
     seed = np.concatenate(seeds)
     order = np.argsort(seed, kind="stable")
     items.seeds, items.item, items.place = seed[order], np.concatenate(owners)[order], np.concatenate(places)[order]
-    items.table = _table(items.seeds)
 
 
-def find_one(words: np.ndarray):
+def _one_text(words: np.ndarray) -> Words:
     """Words of one text, as ``windows`` wants them."""
-    from corpusweave.llm.words import Words
-
     n = len(words)
     return Words(np.zeros(0, np.uint8), np.array([0, 0]), np.arange(n), np.arange(n), np.array([0, n]))
 
@@ -175,11 +171,11 @@ _FOUND = pa.schema(
 )
 
 
-def _passages(items: Items, hashes: np.ndarray, words, width: int, tag: int) -> tuple[np.ndarray, ...]:
+def _passages(items: Items, table: np.ndarray, hashes: np.ndarray, words, width: int, tag: int) -> tuple[np.ndarray, ...]:
     """Text, item and diagonal of each seed that is met."""
     first, value = windows(words, hashes, width)
     value = value + np.uint64(tag)
-    may = _may(items.table, value)
+    may = _may(table, value)
     first, value = first[may], value[may]
     low, high = np.searchsorted(items.seeds, value), np.searchsorted(items.seeds, value, side="right")
     times = high - low
@@ -193,8 +189,8 @@ def _align(items: Items, min_score: float):
     lengths = np.array([len(w) for w in items.words])
     widths = sorted({min(SEED_WORDS, n) for n in lengths.tolist()})
 
-    def found(hashes: np.ndarray, words) -> Iterator[tuple[int, int, float, int, int]]:
-        hits = [_passages(items, hashes, words, width, width - SEED_WORDS & 3) for width in widths]
+    def found(table: np.ndarray, hashes: np.ndarray, words) -> Iterator[tuple[int, int, float, int, int]]:
+        hits = [_passages(items, table, hashes, words, width, width - SEED_WORDS & 3) for width in widths]
         text, item, diagonal, place = (np.concatenate(c) for c in zip(*hits))
         if not len(text):
             return
@@ -231,12 +227,13 @@ def _align(items: Items, min_score: float):
                 yield text_, item_, float(share[g]), last - length, last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(items.seeds)
         for batch in batches:
             id_ = batch.column("_id").to_pylist()
             for part, data, offsets in slices(batch.column("text")):
                 words, hashes = _word_hashes(data, offsets)
                 best: dict[tuple[int, int], tuple] = {}
-                for text, item, score, begin, end in found(hashes, words):
+                for text, item, score, begin, end in found(table, hashes, words):
                     key, value = (text, item), (score, -begin, end)
                     best[key] = max(best.get(key, value), value)
                 rows = [(id_[part.start + t], items.ids[i], s, -b, e) for (t, i), (s, b, e) in best.items()]

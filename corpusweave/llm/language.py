@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +30,17 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 UNKNOWN = "und"
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_letters: list[np.ndarray] = []
 
 
+@lru_cache(maxsize=1)
 def _letter_table() -> np.ndarray:
     """Lower-case code point of each letter below U+20000; 0 for all else."""
-    if not _letters:
-        table = np.zeros(0x20000, dtype=np.uint32)
-        for code in range(0x20000):
-            if (char := chr(code)).isalpha():
-                lower = char.lower()
-                table[code] = ord(lower) if len(lower) == 1 else code
-        _letters.append(table)
-    return _letters[0]
+    table = np.zeros(0x20000, dtype=np.uint32)
+    for code in range(0x20000):
+        if (char := chr(code)).isalpha():
+            lower = char.lower()
+            table[code] = ord(lower) if len(lower) == 1 else code
+    return table
 
 
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,6 @@ _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -38,16 +38,21 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values
 
 
+@lru_cache(maxsize=4)
+def _power_table(base: int, size: int) -> np.ndarray:
+    known = np.ones(1, dtype=np.uint64)
+    while len(known) < size:
+        step = np.uint64(pow(base, len(known), 1 << 64))
+        known = np.concatenate([known, known * step])
+    return known
+
+
 def _power(base: int, count: int) -> np.ndarray:
-    """``base ** 0, base ** 1, …`` modulo 2 ** 64; kept for the next call."""
-    known = _powers.get(base)
-    if known is None or len(known) < count:
-        known = np.ones(1, dtype=np.uint64)
-        while len(known) < max(count, SLICE_BYTES + 1):
-            step = np.uint64(pow(base, len(known), 1 << 64))
-            known = np.concatenate([known, known * step])
-        _powers[base] = known
-    return known[:count]
+    """``base ** 0, base ** 1, …`` modulo 2 ** 64.
+
+    The tables are kept by a cached function, since functions sent to tasks take module variables along.
+    """
+    return _power_table(base, 1 << max(count, SLICE_BYTES + 1).bit_length())[:count]
 
 
 @dataclass
