@@ -13,11 +13,11 @@ def summarize(spark, docs, embedder=LENGTHS, **settings):
 
 
 def test_one_short_document(spark):
-    text = "첫 문장입니다. 두 번째 문장입니다. 세 번째 문장입니다. 네 번째 문장입니다."
+    text = "바람이 산을 넘는다. 바람이 산을 흔든다. 바람이 멈춘다."
     row = summarize(spark, [("file-1", text)], clustering=SMALL, max_text_bytes=10_000)["file-1"]
     assert row == {
         "file_id": "file-1", "status": "OK", "retry_count": 0, "error_message": None,
-        "short_summary": text, "long_summary": text, "tags": ["문장입니다", "번째"],
+        "short_summary": text, "long_summary": text, "tags": ["바람이", "산을", "넘는다", "흔든다", "멈춘다"],
         "doc_type": None, "topics": [], "language": "ko", "embedding": [float(len(text))],
         "raw_features": {"sentence_count": 1, "chunk_count": 1, "text_bytes": len(text.encode())},
         "representative_blocks": [

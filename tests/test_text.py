@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusweave.functions import text as T
 from tests.naive import chunk
 
-SENTENCE = "이 문장은 청킹 테스트를 위한 문장입니다."
+SENTENCE = "Ab cd ef."
 
 
 def evaluate(spark, column, *texts):
@@ -22,15 +22,15 @@ def chunks_of(spark, low, high, overlap, *texts):
 
 
 def test_two_paragraphs_become_one_chunk(spark):
-    text = "첫 문장입니다. 두 번째 문장입니다!\n\n세 번째 줄"
-    assert chunks_of(spark, 10, 80, 5, text) == [["첫 문장입니다. 두 번째 문장입니다! 세 번째 줄"]]
+    text = "Ein Satz. Noch einer!\n\nletzte Zeile"
+    assert chunks_of(spark, 10, 60, 5, text) == [["Ein Satz. Noch einer! letzte Zeile"]]
 
 
 def test_overlap(spark):
-    (found,) = chunks_of(spark, 50, 80, 10, " ".join([SENTENCE] * 20))
-    assert [len(c) for c in found] == [71, 80, 80, 80, 80, 80, 57]
-    for before, after in zip(found, found[1:-1]):
-        assert after.startswith(before[-8:] + " ")
+    # Four sentences of 9 characters make 39; the last chunk has two; 3 characters and a space overlap.
+    (found,) = chunks_of(spark, 10, 45, 3, " ".join([SENTENCE] * 10))
+    assert [len(c) for c in found] == [39, 43, 23]
+    assert all(c.startswith("ef. Ab") for c in found[1:])
 
 
 def test_long_sentence_stays_whole_and_short_chunk_has_no_overlap(spark):
