@@ -29,6 +29,16 @@ class Embedder:
     total: bool = False
 
 
+def _tried(predict: PredictFn, texts: list[str]) -> Sequence[Sequence[float] | None]:
+    """Vectors of a batch; a text that fails takes no other with it."""
+    try:
+        return predict(texts)
+    except Exception:
+        if len(texts) == 1:
+            return [None]
+    return [vector for text in texts for vector in _tried(predict, [text])]
+
+
 def model_embedder(
     make_predict_fn: Callable[[], PredictFn],
     *,
@@ -39,7 +49,8 @@ def model_embedder(
 
     ``make_predict_fn`` runs once per Python task and returns a function from a list of texts to a
     vector per text, or ``None`` for a text it cannot embed. The model sees batches of at most
-    ``batch_size`` texts and never sees a null or blank text: these get a null vector.
+    ``batch_size`` texts and never sees a null or blank text: these get a null vector. If it raises on
+    a batch, it is asked again text by text, and a text it raises on gets a null vector, too.
     """
     params.positive_int("batch_size", batch_size)
 
@@ -50,7 +61,7 @@ def model_embedder(
             wanted = [i for i, t in enumerate(texts) if t is not None and t.strip()]
             for at in range(0, len(wanted), batch_size):
                 rows = wanted[at : at + batch_size]
-                found = predict([texts.iloc[i] for i in rows])
+                found = _tried(predict, [texts.iloc[i] for i in rows])
                 if len(found) != len(rows):
                     raise ValueError("the model returned a different number of vectors than texts")
                 for i, vector in zip(rows, found):

@@ -73,3 +73,17 @@ def test_blank_texts_are_refused_or_routed(spark):
     assert [r["i"] for r in good.collect()] == [1] and sorted(r["i"] for r in bad.collect()) == [2, 3]
     with pytest.raises(PySparkException):
         rows.select(V.require_embeddable(F.col("text"))).collect()
+
+
+def test_a_text_that_the_model_fails_on_takes_no_other_with_it(spark):
+    def make():
+        def predict(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no vector")
+            return [[float(len(t))] for t in texts]
+
+        return predict
+
+    rows = spark.createDataFrame([(1, "one"), (2, "bad one"), (3, "three"), (4, None)], "i int, text string").coalesce(1)
+    found = {r["i"]: r["embedding"] for r in V.embed_column(rows, model_embedder(make, name="m")).collect()}
+    assert found == {1: [3.0], 2: None, 3: [5.0], 4: None}
