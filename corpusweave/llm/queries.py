@@ -12,6 +12,7 @@ from corpusweave.llm.decontaminate import contaminated
 from corpusweave.llm.html import extracted
 from corpusweave.llm.mixing import mix
 from corpusweave.llm.neardup import near_duplicates
+from corpusweave.llm.oracles import ORACLES  # noqa: F401
 from corpusweave.llm.quality import judge
 from corpusweave.llm.sharding import shuffle_into_shards
 from corpusweave.llm.substring import remove_repeats
@@ -119,5 +120,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_external_shuffle": op9_external_shuffle,
     "op10_entropy_mixing": op10_entropy_mixing,
 }
-
-ORACLES: dict[str, str] = {}
