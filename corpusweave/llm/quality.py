@@ -137,8 +137,10 @@ def _pick(levels: dict[tuple[int, int], int], rule: str, tests: int, delta: floa
     bad = sum(n for (_, quality), n in levels.items() if not quality)
     best, choice = 0.0, None
     for at, cutoff in enumerate(grid):
-        lost = sum(n for (level, quality), n in levels.items() if quality and level > at)
-        caught = sum(n for (level, quality), n in levels.items() if not quality and level > at)
+        # Whoever exceeds a mild cutoff exceeds all stricter ones, which come after it.
+        beyond = len(grid) - at
+        lost = sum(n for (level, quality), n in levels.items() if quality and level >= beyond)
+        caught = sum(n for (level, quality), n in levels.items() if not quality and level >= beyond)
         if not caught or not good or lost > share * good or binomial_tail(lost, good, share) > delta / tests:
             continue
         gain = caught / bad - lost / good

@@ -378,3 +378,13 @@ def test_empty_tables(spark, docs):
     assert secrets.find_secrets(none).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judge(none, labels).count() == 0
+
+
+def test_cutoff_counts_those_beyond_it():
+    grid = quality.RULES["symbols"][1]
+    # Bad documents exceed the five strict cutoffs only, and good ones none.
+    levels = {(0, 1): 5000, (5, 0): 50}
+    assert quality._pick(levels, "symbols", 100, 0.05) == grid[len(grid) - 5]
+    # Good documents just beyond the strictest cutoff forbid that one, and no other.
+    levels = {(0, 1): 4000, (1, 1): 1000, (1, 0): 900, (len(grid), 0): 30}
+    assert quality._pick(levels, "symbols", 100, 0.05) == grid[0]
