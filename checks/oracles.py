@@ -100,10 +100,6 @@ EMBEDDED = (
     "src AS (SELECT vec_id % 20 AS doc_id, (vec_id // 20)::INT AS i, "
     "embedding::DOUBLE[] AS v FROM embeddings)"
 )
-EMBEDDED_TEXT = (
-    "src AS (SELECT vec_id % 20 AS doc_id, (vec_id // 20)::INT AS i, embedding::DOUBLE[] AS v, "
-    "d.text AS t FROM embeddings JOIN documents d ON d.doc_id = vec_id)"
-)
 
 
 def first_centroids() -> str:

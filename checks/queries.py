@@ -206,17 +206,12 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "embeddings").withColumn("embedding", VF.as_doubles(F.col("embedding")))
 
 
-def keyed(spark: SparkSession, sf: str, text: bool = False) -> DataFrame:
-    """Twenty documents of vectors, with texts of the corpus as their chunks when asked."""
-    rows = vectors(spark, sf)
-    if text:
-        texts = documents(spark, sf).select(F.col("doc_id").alias("vec_id"), F.col("text").alias("chunk"))
-        rows = rows.join(texts, "vec_id")
-    return rows.select(
+def keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty documents of vectors."""
+    return vectors(spark, sf).select(
         (F.col("vec_id") % 20).alias("doc_id"),
         F.floor(F.col("vec_id") / 20).cast("int").alias("chunk_index"),
         "embedding",
-        *(["chunk"] if text else []),
     )
 
 
@@ -449,16 +444,17 @@ def sampled_clusters(spark, sf):
 
 # --- Representatives ----------------------------------------------------------------------------
 
-_PLACED = f"WITH RECURSIVE {O.EMBEDDED_TEXT}, {O.kmeans()}, {O.representatives()} "
+_PLACED = f"WITH RECURSIVE {_CHUNK_KMEANS_SRC}, {O.kmeans()}, {O.representatives()} "
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
-    return K.kmeans(keyed(spark, sf, text=True), ["doc_id"], carry=["chunk"], tie_digits=TIE_DIGITS)
+    rows = V.embed_column(P.chunk_documents(documents(spark, sf), chunking=SMALL), HASHED, "chunk")
+    return K.kmeans(rows, ["doc_id"], carry=["chunk"], tie_digits=TIE_DIGITS)
 
 
 @register(
     "large_clusters",
-    f"WITH RECURSIVE {O.EMBEDDED_TEXT}, {O.kmeans()}, {O.representatives(least=4)} "
+    f"WITH RECURSIVE {_CHUNK_KMEANS_SRC}, {O.kmeans()}, {O.representatives(least=4)} "
     "SELECT doc_id, c::INT AS cluster_id, i AS chunk_index, n::BIGINT AS cluster_size FROM ranked",
 )
 def large_clusters(spark, sf):
@@ -468,7 +464,7 @@ def large_clusters(spark, sf):
 
 @register(
     "ranked_members",
-    f"WITH RECURSIVE {O.EMBEDDED_TEXT}, {O.kmeans()}, {O.representatives(least=1)} "
+    f"WITH RECURSIVE {_CHUNK_KMEANS_SRC}, {O.kmeans()}, {O.representatives(least=1)} "
     "SELECT doc_id, c::INT AS cluster_id, i AS chunk_index, rank::INT AS rank FROM ranked",
 )
 def ranked_members(spark, sf):
@@ -478,7 +474,7 @@ def ranked_members(spark, sf):
 
 @register(
     "members_within_ratio",
-    f"WITH RECURSIVE {O.EMBEDDED_TEXT}, {O.kmeans()}, {O.representatives(least=1, top=10**6, ratio=1.5)} "
+    f"WITH RECURSIVE {_CHUNK_KMEANS_SRC}, {O.kmeans()}, {O.representatives(least=1, top=10**6, ratio=1.5)} "
     "SELECT doc_id, c::INT AS cluster_id, i AS chunk_index FROM topk",
 )
 def members_within_ratio(spark, sf):
@@ -488,7 +484,7 @@ def members_within_ratio(spark, sf):
 
 @register(
     "top_members",
-    f"WITH RECURSIVE {O.EMBEDDED_TEXT}, {O.kmeans()}, {O.representatives(least=1, top=3, ratio=1e9)} "
+    f"WITH RECURSIVE {_CHUNK_KMEANS_SRC}, {O.kmeans()}, {O.representatives(least=1, top=3, ratio=1e9)} "
     "SELECT doc_id, c::INT AS cluster_id, i AS chunk_index, rank::INT AS rank FROM topk",
 )
 def top_members(spark, sf):

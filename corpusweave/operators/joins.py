@@ -22,11 +22,14 @@ def join_per_key(
 ) -> DataFrame:
     """Join ``rows`` with ``per_key``, which holds at most one row per key; ``inner`` or ``left``.
 
-    The small side is measured. Up to ``MAX_BROADCAST_BYTES`` it is broadcast and the rows stay
+    The small side is measured: ``row_bytes`` and the bytes of keys of varying length. Up to ``MAX_BROADCAST_BYTES`` it is broadcast and the rows stay
     where they are; beyond, both sides are shuffled by key and salt, so that the rows of one key go
     to many tasks. ``spread_by`` is a column that varies within a key.
     """
     keys = list(keys)
+    for key in keys:
+        if per_key.schema[key].dataType.typeName() in ("string", "binary"):
+            row_bytes = row_bytes + F.coalesce(F.octet_length(F.col(key)), F.lit(0)).cast("long")
     size = per_key.agg(F.sum(row_bytes)).first()[0] or 0
     if size <= MAX_BROADCAST_BYTES:
         return rows.join(F.broadcast(per_key), keys, how)

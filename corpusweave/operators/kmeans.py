@@ -144,6 +144,7 @@ def kmeans(
     price of a single shuffle; larger keys go through :func:`kmeans_by_joins`.
     """
     keys = list(keys)
+    df = cut(df.select(*keys, index, *carry, vector))  # sizes, groups and joins all read it
     sizes = df.groupBy(*keys).agg(F.sum(F.size(vector)).alias("_values"))
     large = sizes.filter(F.col("_values") > max_group_values).select(*keys)
     settings = dict(
@@ -280,12 +281,12 @@ def kmeans_by_joins(
     """K-means as joins and aggregations, for keys of any size.
 
     The loop carries centroids only: one row per key with the centroids of this round and of the
-    round before. Assignments are recomputed from them, so a vector is never shuffled with its
+    round before; the vectors are written once. Assignments are recomputed from them, so a vector is never shuffled with its
     state, a round shuffles partial sums only, and a key may be spread over all tasks.
     """
     params.positive_int("max_clusters", max_clusters)
     keys = list(keys)
-    rows = df.select(*keys, index, *carry, as_doubles(F.col(vector)).alias(vector))
+    rows = cut(df.select(*keys, index, *carry, as_doubles(F.col(vector)).alias(vector)))
     first = initial_centroids(
         rows, keys, index=index, vector=vector, max_clusters=max_clusters
     )

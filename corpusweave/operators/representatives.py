@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusweave import params
 from corpusweave.functions import text as T
+from corpusweave.lineage import cut
 from corpusweave.operators.joins import join_per_key
 
 
@@ -35,6 +36,7 @@ def drop_small_clusters(
 ) -> DataFrame:
     """Members of clusters with at least ``min_size`` members, with their ``cluster_size``."""
     params.positive_int("min_size", min_size)
+    members = cut(members)
     sizes = cluster_sizes(members, keys).filter(F.col("cluster_size") >= min_size)
     return join_per_key(
         members, sizes, [*keys, "cluster_id"], spread_by=index, row_bytes=F.lit(64)
@@ -119,6 +121,7 @@ def representative_clusters(
     """One row per cluster that has representatives: the first of them, all of them in rank order,
     and the indices of all members."""
     group = [*keys, "cluster_id"]
+    members = cut(members)
     top = within_ratio(
         top_members(members, keys, settings.max_representative_sentences, index=index, text=text),
         keys,
