@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 # Odd multipliers and the constants of a 64-bit finalizer (public domain, MurmurHash3).
 _BASE = 0x9E3779B97F4A7C15
