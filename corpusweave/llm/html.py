@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ DROPPED = frozenset(
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLES = frozenset(("article", "main"))
+#: Elements whose end also ends what was left open in them; the ends of the others may be missing themselves.
+ENDERS = (BLOCKS | {"html", "body"}) - {"p", "li", "dd", "dt", "option", "br", "hr"}
 #: Words of class, id and role that mark what is not part of the article.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|"
@@ -45,6 +48,11 @@ MARKS = re.compile(
     re.IGNORECASE,
 )
 
+#: Classes of an article that tell of its page or topic, not of what it is.
+_STATES = re.compile(
+    r"(?:^|(?<=\s))(?:(?:has|with|without|no|category|tag|type|format|status|layout)[_-]\S+|\S+[_-](?:open|closed|enabled|disabled))"
+)
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?][^>]*+>",
     re.DOTALL,
@@ -57,12 +65,14 @@ def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
         return True
     if name == "header" and not in_article:
         return True
-    if not attributes or name in ("html", "body") or name in ARTICLES:
+    if not attributes or name in ("html", "body", "main"):
         return False
     for kind, *values in _ATTRIBUTE.findall(attributes):
         value, kind = "".join(values), kind.lower()
         if kind == "hidden" or kind == "style" and re.search(r"display\s*:\s*none", value):
             return True
+        if name in ARTICLES:
+            value = _STATES.sub("", value)
         if kind in ("class", "id", "role") and MARKS.search(value):
             return True
     return False
@@ -74,7 +84,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     text: list[str] = []
     links = depth = 0
     articles = 0
-    skip, skip_depth, in_link = "", 0, False
+    opened: Counter[str] = Counter()  # elements that are open, outside of what is skipped
+    inner: Counter[str] = Counter()  # and in it, itself among them
+    skip, in_link = "", False
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -105,17 +117,18 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         name = name.lower()
         if skip:
-            # Only tags of the same name open and close what is skipped; an unclosed one ends with the article.
-            if name == skip:
-                skip_depth += -1 if close else (name not in VOID and not attributes.endswith("/"))
-                if skip_depth <= 0:
+            if not close:
+                inner[name] += name not in VOID and not attributes.endswith("/")
+                continue
+            if inner[name]:
+                inner[name] -= 1
+                if name == skip and not inner[name]:
                     skip = ""
-            elif close and name in ("article", "main", "body", "html"):
-                skip = ""
-                if name in ARTICLES:
-                    flush()
-                    articles = max(0, articles - 1)
-            continue
+                continue
+            # An unclosed element ends with one that was opened before it; within a table, only with the article or page.
+            if name not in ENDERS or not opened[name] or inner["table"] and name not in (*ARTICLES, "body", "html"):
+                continue
+            skip = ""
         if not close and _unwanted(name, attributes, articles > 0):
             flush()
             out.append(("", 0, articles > 0))
@@ -123,8 +136,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 stop = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
                 at = stop.end() if stop else end
             elif name not in VOID and not attributes.endswith("/"):
-                skip, skip_depth = name, 1
+                skip, inner = name, Counter((name,))
             continue
+        if name in ENDERS and not attributes.endswith("/"):
+            opened[name] = max(0, opened[name] - 1) if close else opened[name] + 1
         if name == "a":
             in_link = not close
         if name in BLOCKS:

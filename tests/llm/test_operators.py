@@ -388,3 +388,16 @@ def test_cutoff_counts_those_beyond_it():
     # Good documents just beyond the strictest cutoff forbid that one, and no other.
     levels = {(0, 1): 4000, (1, 1): 1000, (1, 0): 900, (len(grid), 0): 30}
     assert quality._pick(levels, "symbols", 100, 0.05) == grid[0]
+
+
+def test_skipped_elements_may_hold_articles():
+    cards = "".join(f"<article class=card><h3>Teaser {i}</h3><p>{'Short text. ' * 9}</p></article>" for i in range(3))
+    body = "<div><p>" + "The real text of the page. " * 9 + "</p></div>"
+    real = ("The real text of the page. " * 9).strip()
+    for skipped in (f"<aside class=related>{cards}</aside>", f"<div id=comments>{cards}</div>", f"<div><nav>{cards}</div>"):
+        assert main_text(f"<body>{skipped}{body}</body>") == real
+        assert main_text(f"<body><article>{skipped}{body}</article></body>") == real
+    comments = "".join(f"<article class=comment-body><p>{'I agree with this. ' * 9}</p></article>" for _ in range(3))
+    assert main_text(f"<body>{body}<div>{comments}</div></body>") == real
+    topic = f"<article class='post has-sidebar category-social comments-open'>{body}</article>"
+    assert main_text(f"<body>{topic}</body>") == real
