@@ -139,10 +139,65 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
 """
 
+_LEVELS = 15  # blocks of 32,768 words, so runs in texts of up to 131,072 words
+
+_NAMED = ",\n".join(
+    f"""n{k} AS MATERIALIZED (SELECT a.doc_id, a.pos, dense_rank() OVER (ORDER BY a.name, b.name) AS name
+FROM n{k - 1} a JOIN n{k - 1} b ON b.doc_id = a.doc_id AND b.pos = a.pos + {1 << (k - 1)})"""
+    for k in range(1, _LEVELS + 1)
+)
+_NEXT = " UNION ".join(
+    f"""SELECT doc_id, q FROM (SELECT doc_id, lead(pos) OVER (PARTITION BY doc_id, name ORDER BY pos) - pos AS q FROM n{k})
+WHERE q <= {1 << k}"""
+    for k in range(_LEVELS + 1)
+)
+# CRC-32 of the id's decimal digits, a bit at a time: the reversed polynomial 0xEDB88320.
+_CRC = """xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+ lambda d: [ascii(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0])), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))))"""
+# Windows of 1, 2, 4 … words are numbered by pairs of shorter ones; a window that stands again within its own length gives
+# a distance, and the stretches at which words equal those at that distance are measured.
+RUNS = f"""
+WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS l, {_CRC} AS h FROM documents),
+c AS (SELECT doc_id, l, h, len(l) AS n, h // 10 AS g, CASE WHEN len(l) > 0 THEN (h // 10) % len(l) END AS a FROM h),
+w AS (SELECT doc_id, g.i AS pos, CASE WHEN h % 10 = 0 AND g.i >= a THEN l[1 + a + (g.i - a) % (1 + (n - a) // (3 + g % 8))] ELSE l[1 + g.i] END AS word
+ FROM c, unnest(range(0, n)) g(i)),
+n0 AS MATERIALIZED (SELECT doc_id, pos, dense_rank() OVER (ORDER BY word) AS name FROM w),
+{_NAMED},
+d AS MATERIALIZED ({_NEXT}),
+e AS (SELECT x.doc_id, d.q, x.pos, x.pos - row_number() OVER (PARTITION BY x.doc_id, d.q ORDER BY x.pos) AS part
+ FROM d JOIN n0 x ON x.doc_id = d.doc_id JOIN n0 y ON y.doc_id = x.doc_id AND y.pos = x.pos + d.q AND y.name = x.name),
+s AS (SELECT doc_id, q, min(pos) AS start, count(*) + q AS length FROM e GROUP BY doc_id, q, part),
+r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+listed AS (SELECT doc_id, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT r.doc_id, g.i AS pos FROM r, unnest(range(start + period, start + length)) g(i)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM w ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT c.doc_id, coalesce(listed.n, 0) AS n_runs, best.start, best.length, best.period, (1000 * best.length) // best.period AS exponent_milli,
+ sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM c LEFT JOIN best USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')"
+SEARCH = f"""
+WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+size AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term, docs),
+asked AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))))::BIGINT AS score
+ FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN size USING (doc_id), whole GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op2_quality_rules": QUALITY,
     "op3_substring_dedup": SUBSTRING,
     "op4_secret_scan": SECRETS,
     "op5_warc_index": WARC,
     "op7_minhash_neardup": NEAR,
+    "op11_periodic_runs": RUNS,
+    "op13_lexical_search": SEARCH,
 }

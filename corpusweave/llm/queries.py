@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import language, secrets, warc
+from corpusweave.llm import bpe, language, secrets, warc
 from corpusweave.llm.decontaminate import contaminated
 from corpusweave.llm.html import extracted
 from corpusweave.llm.mixing import mix
 from corpusweave.llm.neardup import near_duplicates
 from corpusweave.llm.oracles import ORACLES  # noqa: F401
+from corpusweave.llm.periodic import collapse_runs
 from corpusweave.llm.quality import judge
+from corpusweave.llm.search import ranked
 from corpusweave.llm.sharding import shuffle_into_shards
 from corpusweave.llm.substring import remove_repeats
 from corpusweave.llm.tables import shared_path
@@ -108,6 +113,68 @@ def op10_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _with_periods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Give a period to the end of each tenth text, as the hash of its id says."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for i, id_ in enumerate(batch.column("doc_id").to_pylist()):
+            hashed = crc32(str(id_).encode())
+            if hashed % 10 or id_ is None or texts[i] is None:
+                continue
+            words = texts[i].encode().split()
+            n, g = len(words), hashed // 10
+            if n:
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                again = words[a : a + p] * ((n - a) // p + 1)
+                texts[i] = b" ".join(words[:a] + again[: n - a]).decode()
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of each document, the one of greatest exponent, and the document without its repeats."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    texts = docs.mapInArrow(_with_periods, docs.schema)
+    exponent = lambda r: r["length"] / r["period"]  # noqa: E731  exact order up to 2 ** 26 words
+    best = F.array_max(
+        F.transform("runs", lambda r: F.struct(exponent(r).alias("e"), -r["start"], -r["period"], r["length"]))
+    )
+    shown = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (
+        collapse_runs(texts)
+        .withColumn("_best", best)
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            (-F.col("_best.col2")).alias("start"),
+            F.col("_best.length").alias("length"),
+            (-F.col("_best.col3")).alias("period"),
+            F.expr("1000 * _best.length div -_best.col3").alias("exponent_milli"),
+            F.sha2(F.array_join(shown, ""), 256).alias("runs_sha256"),
+            F.sha2("kept_text", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each document and the bytes they decode to."""
+    tokenizer = bpe.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode(_table(spark, folder, "documents"), tokenizer).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        "ids",
+    )
+    return bpe.decode(coded, tokenizer).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return ranked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
@@ -119,4 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_external_shuffle": op9_external_shuffle,
     "op10_entropy_mixing": op10_entropy_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_lexical_search": op13_lexical_search,
 }

@@ -133,3 +133,19 @@ def windows(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, n
         inside[cut[(cut >= 0) & (cut < count)]] = False
     first = np.flatnonzero(inside)
     return first, mix(total[first])
+
+
+def word_column(words: Words) -> pa.Array:
+    """The words as bytes at every second place of an Arrow column, from the first; between them what parts them."""
+    bounds = np.empty(2 * len(words.start), dtype=np.int64)
+    bounds[0::2], bounds[1::2] = words.start, words.end
+    if not len(bounds):
+        return pa.array([], pa.large_binary())
+    parts = [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(words.data))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, parts)
+
+
+def ramps(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``first[i], first[i] + 1, …``, ``count[i]`` of them, one after another."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
