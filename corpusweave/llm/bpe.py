@@ -1,10 +1,12 @@
 """Byte-level BPE over a corpus: every distinct word is encoded once, wherever it stands.
 
-A task cuts its texts into segments of about a megabyte and lists, for each word that the pattern finds in a segment,
-the positions where it stands. The words of all segments are brought together; each distinct one is encoded once, and
-its ids are joined back to the segments that hold it, where they go to its positions. Decoding does the same with
-tokens: their positions within a segment are listed, the table of token bytes is joined, the bytes go to the positions.
-Positions travel as gaps of mostly one byte, so a word that stands everywhere costs a byte or two for each place.
+A task cuts its texts into segments of some megabytes and numbers the distinct words that the pattern finds in each. The
+words go to buckets by a hash of theirs, those of a segment and bucket packed in one row; a bucket encodes each distinct
+word once, as its rows stream by, and sends the ids back to the segments. There they meet the documents, which travel as
+the numbers of their words in the order of their positions, and take the words' places. A word that stands everywhere
+comes once from each segment, and its bucket holds it once, so frequent words weigh on no task.
+
+Decoding joins the table of token bytes, which is as small as the vocabulary, to the ids of each batch.
 """
 
 from __future__ import annotations
@@ -13,23 +15,29 @@ import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from corpusweave.llm.tables import written
+from corpusweave.llm.tables import task_count
 from corpusweave.llm.words import ramps, slices
 
-#: Bytes of text in a segment, and tokens in one; a longer text is a segment of its own.
-SEGMENT_BYTES, SEGMENT_TOKENS = 1 << 20, 1 << 18
-#: Bytes of words that are sent to every task at most.
-SENT_BYTES = 32 << 20
+#: Bytes of text in a segment; a longer text is a segment of its own.
+SEGMENT_BYTES = 4 << 20
+#: Bytes of text to a bucket of words: what all its distinct words can take at most, on average.
+BUCKET_BYTES = 16 << 20
+#: Tokens that are decoded at a time.
+_DECODED = 1 << 20
 _PART_BITS = 33
+_BETWEEN = b"\xff"  # no byte of UTF-8
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -52,129 +60,62 @@ class Tokenizer:
         with open(self.ranks, "rb") as file:
             return spark.sparkContext.broadcast(file.read())
 
-    def tokens(self, spark: SparkSession) -> DataFrame:
-        """``(token, bytes)`` of all tokens."""
-        lines = self.sent(spark)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _ in batches:
-                ranks = _ranks(lines.value)
-                columns = [pa.array(list(ranks.values()), pa.int32()), pa.array(list(ranks), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "bytes"])
-
-        return spark.range(1, numPartitions=1).mapInArrow(run, "token int, bytes binary")
-
 
 @lru_cache(maxsize=2)
 def _ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines())}
 
 
-# --- Positions -----------------------------------------------------------------------------------
+# --- Packed numbers ------------------------------------------------------------------------------
 
 
-def _packed(code: np.ndarray, kinds: int) -> pa.Array:
-    """For each code its positions, as gaps in base 128 with the low digits first."""
-    order = np.argsort(code, kind="stable")
-    first = np.searchsorted(code[order], np.arange(kinds + 1))
-    gap = np.diff(order, prepend=0)
-    gap[first[:-1]] = order[first[:-1]]
-    digits = 1 + sum((gap >> shift > 0).astype(np.int64) for shift in range(7, 42, 7))
+def _packed(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Whole numbers in base 128, low digits first, the last without the high bit; ``first`` parts them into rows."""
+    digits = 1 + sum((values >> shift > 0).astype(np.int64) for shift in range(7, 42, 7))
     ends = np.cumsum(digits)
-    nth = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - digits, digits)
-    out = (np.repeat(gap, digits) >> (7 * nth)) & 127
+    nth = ramps(np.zeros(len(values), dtype=np.int64), digits)
+    out = (np.repeat(values, digits) >> (7 * nth)) & 127
     out |= (nth < np.repeat(digits, digits) - 1) << 7
-    bounds = np.concatenate([[0], ends])[first]
-    parts = [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out.astype(np.uint8))]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), kinds, parts).cast(pa.binary())
+    bounds = np.concatenate([[0], ends])[first].astype(np.int64)
+    parts = [None, pa.py_buffer(bounds), pa.py_buffer(out.astype(np.uint8))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, parts).cast(pa.binary())
 
 
 def _unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The row and the position of each listed position."""
-    data, bounds = _buffers(column)
+    """All numbers of a packed column, and where each row begins and ends among them."""
+    data = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8)
+    bounds = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy())]).astype(np.int64)
     last = np.flatnonzero(data < 128)
-    head = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    if not len(last):
+        return np.zeros(0, dtype=np.int64), np.zeros(len(bounds), dtype=np.int64)
+    head = np.concatenate([[0], last[:-1] + 1])
     nth = np.arange(len(data)) - np.repeat(head, last - head + 1)
-    gap = np.add.reduceat((data & 127).astype(np.int64) << (7 * nth), head) if len(last) else last
-    row = np.searchsorted(bounds, head, side="right") - 1
-    total = np.cumsum(gap)
-    base = np.zeros(len(bounds) - 1, dtype=np.int64)
-    start = np.searchsorted(row, np.arange(len(base)))
-    some = start < len(row)
-    base[some] = (total - gap)[start[some]]
-    return row, total - base[row]
-
-
-def _buffers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a binary column and where each value begins and ends in them."""
-    array = column.cast(pa.large_binary()).combine_chunks()
-    if isinstance(array, pa.ChunkedArray):
-        array = array.chunk(0) if array.num_chunks else pa.array([], pa.large_binary())
-    _, offsets, data = array.buffers()
-    if data is None or not len(array):
-        return np.zeros(0, dtype=np.uint8), np.zeros(len(array) + 1, dtype=np.int64)
-    bounds = np.frombuffer(offsets, dtype=np.int64)[array.offset : array.offset + len(array) + 1]
-    return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
-
-
-_LISTED = "segment long, place long, items long, row {row}, piece {piece}, at binary"
-
-
-def _listed(segment: int, rows: pa.Array, counts: np.ndarray, pieces: pa.Array, code: np.ndarray, names) -> pa.RecordBatch:
-    """The rows of a segment with the number of their pieces, then its pieces with their positions."""
-    n, kinds = len(rows), len(pieces)
-    column = lambda head, tail: pa.concat_arrays([head, tail])
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n + kinds, segment), pa.int64()),
-            column(pa.array(np.arange(n), pa.int64()), pa.nulls(kinds, pa.int64())),
-            column(pa.array(counts, pa.int64()), pa.nulls(kinds, pa.int64())),
-            column(rows, pa.nulls(kinds, rows.type)),
-            column(pa.nulls(n, pieces.type), pieces),
-            column(pa.nulls(n, pa.binary()), _packed(code, kinds)),
-        ],
-        names=names,
-    )
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * nth), head), np.searchsorted(head, bounds)
 
 
-def _put_in_place(values: DataFrame, row_type: str, name: str, wide: bool) -> DataFrame:
-    """``row`` and the values of its pieces in the order of their positions, from ``segment, place, items, row, value, at``."""
-    element = np.dtype(np.int32 if wide else np.uint8)
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        is_row = table["place"].is_valid()
-        rows = table.filter(is_row).sort_by("place")
-        pieces = table.filter(pc.invert(is_row))
-        data, bounds = _buffers(pieces["value"])
-        owner, at = _unpacked(pieces["at"])
-        of = np.empty(len(at), dtype=np.int64)
-        of[at] = owner
-        bounds = bounds // element.itemsize
-        length = np.diff(bounds)[of]
-        flat = data.view(element)[ramps(bounds[:-1][of], length)]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        edge = ends[np.concatenate([[0], np.cumsum(rows["items"].to_numpy())])]
-        if wide:
-            out = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat))
-        else:
-            parts = [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))]
-            out = pa.BinaryArray.from_buffers(pa.binary(), len(edge) - 1, parts)
-        return pa.table({"row": rows["row"], name: out})
-
-    kind = "array<int>" if wide else "binary"
-    return values.groupBy("segment").applyInArrow(run, f"row {row_type}, {name} {kind}")
+def _ids_packed(ids: list[int]) -> bytes:
+    """The ids of a word, each doubled, plus one at the last."""
+    out = bytearray()
+    for at, id_ in enumerate(ids):
+        left = 2 * id_ + (at == len(ids) - 1)
+        while left > 127:
+            out.append(left & 127 | 128)
+            left >>= 7
+        out.append(left)
+    return bytes(out)
 
 
 # --- Encoding ------------------------------------------------------------------------------------
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, find) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """How many words each text has, the codes of the words in order, and the distinct words.
+    """How many words each text has, the numbers of the words in order, and the distinct words, frequent ones first.
 
     White space after something else begins a new word whatever follows, so the text is cut there and the pattern
     runs once on each distinct cut.
     """
+    if not len(data):
+        return np.zeros(len(offsets) - 1, dtype=np.int64), np.zeros(0, dtype=np.int64), pa.array([], pa.string())
     white = _WHITE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[1:-1] = white[1:] & ~white[:-1] & ~_MAY_BE_WHITE[data[:-1]]
@@ -189,122 +130,185 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, find) -> tuple[np.ndarray, np
     cut = cuts.indices.to_numpy(zero_copy_only=False)
     code = words.indices.to_numpy(zero_copy_only=False)[ramps(first[cut], count[cut])]
     upto = np.concatenate([[0], np.cumsum(count[cut])])
-    return np.diff(upto[np.searchsorted(bounds, offsets)]), code, words.dictionary
+    order = np.argsort(-np.bincount(code, minlength=len(words.dictionary)), kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return np.diff(upto[np.searchsorted(bounds, offsets)]), rank[code], words.dictionary.take(pa.array(order))
+
+
+def _segments(batches: Iterator[pa.RecordBatch], pattern: str):
+    """``segment, rows, counts, codes, words`` of the segments of a task."""
+    find = regex.compile(pattern).findall
+    segment = TaskContext.get().partitionId() << _PART_BITS
+    for batch in batches:
+        for part, data, offsets in slices(batch.column("text"), SEGMENT_BYTES):
+            yield segment, batch.slice(part.start, part.stop - part.start), *_pieces(data, offsets, find)
+            segment += 1
 
 
-def _list_words(pattern: str, names: list[str]):
+def _send_words(pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        segment = TaskContext.get().partitionId() << _PART_BITS
-        for batch in batches:
-            for part, data, offsets in slices(batch.column("text"), SEGMENT_BYTES):
-                rows = batch.column("row").slice(part.start, part.stop - part.start)
-                if not len(data):
-                    nothing = pa.array([], pa.string())
-                    yield _listed(segment, rows, np.zeros(len(rows)), nothing, np.zeros(0, np.int64), names)
-                else:
-                    counts, code, words = _pieces(data, offsets, find)
-                    yield _listed(segment, rows, counts, words, code, names)
-                segment += 1
+        for segment, _, _, _, words in _segments(batches, pattern):
+            texts = words.to_pylist()
+            raw = [text.encode() for text in texts]
+            to = np.array([crc32(word) for word in raw], dtype=np.int64) % buckets
+            order = np.argsort(to, kind="stable")
+            some, first = np.unique(to[order], return_index=True)
+            edge = np.append(first, len(order))
+            step = np.diff(order, prepend=0)
+            step[first] = order[first]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(some, pa.int64()),
+                    pa.array(np.full(len(some), segment), pa.int64()),
+                    _packed(step, edge),
+                    pa.array([_BETWEEN.join(raw[i] for i in order[a:b]) for a, b in zip(edge, edge[1:])], pa.binary()),
+                ],
+                names=["bucket", "segment", "codes", "words"],
+            )
 
     return run
 
 
 def _encode_words(lines: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
+    """Rows of a bucket follow one another."""
 
-        encoding = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=_ranks(lines.value), special_tokens={})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = None
+        known: dict[bytes, bytes] = {}
+        bucket = None
         for batch in batches:
-            found = [
-                np.array(ids, dtype=np.int32).tobytes()
-                for ids in encoding.encode_ordinary_batch(batch.column("piece").to_pylist(), num_threads=1)
-            ]
+            if encoding is None:
+                encoding = tiktoken.Encoding(
+                    "ranks", pat_str="(?s:.+)", mergeable_ranks=_ranks(lines.value), special_tokens={}
+                )
+            replies = []
+            for of, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+                if of != bucket:
+                    known, bucket = {}, of
+                reply = []
+                for word in words.split(_BETWEEN):
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = _ids_packed(encoding.encode_ordinary(word.decode()))
+                    reply.append(ids)
+                replies.append(b"".join(reply))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("piece"), batch.column("n"), pa.array(found, pa.binary())], names=["piece", "n", "value"]
+                [batch.column("segment"), batch.column("codes"), pa.array(replies, pa.binary())],
+                names=["segment", "codes", "ids"],
             )
 
     return run
 
 
-def _with_values(pieces: DataFrame, values: DataFrame) -> DataFrame:
-    """Join ``value`` to the listed pieces; ``values`` has ``(piece, n, value)``, ``n`` the segments with the piece.
+def _send_rows(pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for segment, rows, counts, code, words in _segments(batches, pattern):
+            n = rows.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, segment), pa.int64()),
+                    pa.array(np.arange(n), pa.int64()),
+                    pa.array(np.full(n, len(words)), pa.int64()),
+                    rows.column("row"),
+                    _packed(code, np.concatenate([[0], np.cumsum(counts)])),
+                ],
+                names=["segment", "place", "kinds", "row", "codes"],
+            )
+
+    return run
 
-    Pieces in more segments than a limit go to every task, and the limit is set so that they have ``SENT_BYTES`` in
-    all; the others are shuffled, and none of them has more rows than the limit.
-    """
-    size = F.octet_length("piece") + F.octet_length("value")
-    volume = values.agg(F.sum(F.col("n") * size)).first()[0] or 0
-    often = F.col("n") > volume // SENT_BYTES
-    hot = F.broadcast(values.where(often).drop("n"))
-    if volume <= SENT_BYTES:
-        return pieces.join(hot, "piece")
-    marked = pieces.join(hot, "piece", "left")
-    rare = marked.where(F.col("value").isNull()).drop("value").join(values.where(~often).drop("n"), "piece")
-    return marked.where(F.col("value").isNotNull()).unionByName(rare)
+
+def _put_in_place(rows: pa.Table, words: pa.Table) -> pa.Table:
+    """The ids of the words at the positions of the words, for the documents of a segment."""
+    rows = rows.sort_by("place")
+    code, upto = _unpacked(rows["codes"])
+    step, first = _unpacked(words["codes"])
+    total = np.concatenate([[0], np.cumsum(step)])
+    number = total[1:] - np.repeat(total[first[:-1]], np.diff(first))
+    doubled, _ = _unpacked(words["ids"])
+    last = np.flatnonzero(doubled & 1)
+    kinds = rows["kinds"][0].as_py() if rows.num_rows else 0
+    if len(number) != kinds or len(last) != kinds or len(code) and int(code.max()) >= kinds:
+        raise RuntimeError("the texts changed between two reads")
+    begin, length = np.zeros(kinds, dtype=np.int64), np.zeros(kinds, dtype=np.int64)
+    begin[number] = np.concatenate([[0], last[:-1] + 1]) if kinds else last
+    length[number] = np.diff(last, prepend=-1)
+    ids = (doubled >> 1).astype(np.int32)[ramps(begin[code], length[code])]
+    edge = np.concatenate([[0], np.cumsum(length[code])])[upto]
+    return pa.table({"row": rows["row"], "ids": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids))})
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``key, ids``, the tokens of the whole text without special ones.
 
     Null and empty texts have no tokens. Keys of any type, null and repeated ones too, are passed on row by row. Other
-    columns are left out, whatever their names. A text lies within one task; the corpus goes through one shuffle of
-    word positions, a second one if the distinct words take more than ``SENT_BYTES``.
+    columns are left out, whatever their names.
+
+    ``docs`` is read twice, for the words and for their positions, and has to give the same rows in the same order, as
+    files and written tables do; if it does not, the job fails. A text lies within one task.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(key).alias("row"), F.col(text).cast("string").alias("text"))
     kind = texts.schema["row"].dataType.simpleString()
-    schema = _LISTED.format(row=kind, piece="string")
-    listed = written(texts.mapInArrow(_list_words(tokenizer.pattern, _NAMES), schema))
-    pieces = listed.where(F.col("piece").isNotNull()).select("segment", "piece", "at")
-    distinct = pieces.groupBy("piece").agg(F.count("*").alias("n"))
-    coder = _encode_words(tokenizer.sent(docs.sparkSession))
-    values = written(distinct.mapInArrow(coder, "piece string, n long, value binary"))
-    return _assembled(listed, _with_values(pieces, values), kind, "ids", True).withColumnRenamed("row", key)
-
-
-_NAMES = ["segment", "place", "items", "row", "piece", "at"]
-
-
-def _assembled(listed: DataFrame, valued: DataFrame, kind: str, name: str, wide: bool) -> DataFrame:
-    rows = listed.where(F.col("place").isNotNull()).select(
-        "segment", "place", "items", "row", F.lit(None).cast("binary").alias("value"), "at"
+    volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = task_count(spark)
+    buckets = max(volume // BUCKET_BYTES + 1, tasks)
+    words = (
+        texts.select("text")
+        .mapInArrow(_send_words(tokenizer.pattern, buckets), "bucket long, segment long, codes binary, words binary")
+        .repartition(tasks, "bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_encode_words(tokenizer.sent(spark)), "segment long, codes binary, ids binary")
     )
-    filled = valued.select(
-        "segment",
-        F.lit(None).cast("long").alias("place"),
-        F.lit(None).cast("long").alias("items"),
-        F.lit(None).cast(kind).alias("row"),
-        "value",
-        "at",
+    rows = texts.mapInArrow(
+        _send_rows(tokenizer.pattern), f"segment long, place long, kinds long, row {kind}, codes binary"
     )
-    return _put_in_place(rows.unionByName(filled), kind, name, wide)
+    done = rows.groupBy("segment").cogroup(words.groupBy("segment")).applyInArrow(_put_in_place, f"row {kind}, ids array<int>")
+    return done.withColumnRenamed("row", key)
 
 
 # --- Decoding ------------------------------------------------------------------------------------
 
 
-def _list_tokens(names: list[str]):
+def _decode(lines: Broadcast, carried: list[str], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = TaskContext.get().partitionId() << _PART_BITS
+        token, begin = None, None
         for batch in batches:
-            ids = batch.column("ids")
-            count = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(count)
-            flat = ids.flatten()
-            at = 0
-            while at < len(count):
-                begin = int(ends[at] - count[at])
-                to = max(int(np.searchsorted(ends, begin + SEGMENT_TOKENS, side="right")), at + 1)
-                tokens = flat.slice(begin, int(ends[to - 1]) - begin).dictionary_encode("encode")
-                code = tokens.indices.to_numpy(zero_copy_only=False)
-                rows = batch.column("row").slice(at, to - at)
-                yield _listed(segment, rows, count[at:to], tokens.dictionary, code, names)
-                segment += 1
-                at = to
+            if token is None:
+                # The table: where the bytes of each token begin and end among those of all.
+                table = sorted((rank, value) for value, rank in _ranks(lines.value).items())
+                token = np.array([rank for rank, _ in table])
+                flat = np.frombuffer(b"".join(value for _, value in table), dtype=np.uint8)
+                begin = np.concatenate([[0], np.cumsum([len(value) for _, value in table])])
+            for part in _parts(batch):
+                ids = part.column("ids")
+                found = ids.flatten().to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(token, found), len(token) - 1)
+                if (token[at] != found).any():
+                    raise ValueError("the table does not hold all tokens")
+                length = begin[at + 1] - begin[at]
+                out = flat[ramps(begin[at], length)]
+                count = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                edge = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(count)])]
+                buffers = [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(out)]
+                decoded = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, buffers)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), decoded], names=names)
 
     return run
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with a bounded number of tokens; a longer row is one of its own."""
+    ends = np.cumsum(batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = int(ends[at - 1]) if at else 0
+        to = max(int(np.searchsorted(ends, before + _DECODED, side="right")), at + 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def decode(coded: DataFrame, tokenizer: Tokenizer, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """The columns of ``coded`` but ``ids``, and ``name``: the bytes of its tokens, one row per row.
 
@@ -312,21 +316,8 @@ def decode(coded: DataFrame, tokenizer: Tokenizer, ids: str = "ids", name: str =
     column of ``coded`` that is called ``name`` is replaced.
     """
     others = [c for c in coded.columns if c not in (ids, name)]
-    carried = [F.col(c).alias(f"c{i}") for i, c in enumerate(others)]
-    rows = coded.select(F.struct(F.lit(0).alias("_"), *carried).alias("row"), F.col(ids).alias("ids"))
-    kind = rows.schema["row"].dataType.simpleString()
-    listed = rows.mapInArrow(_list_tokens(_NAMES), _LISTED.format(row=kind, piece="int"))
-    # One table of bounded size: the tokens of the vocabulary.
-    table = F.broadcast(tokenizer.tokens(coded.sparkSession).withColumnRenamed("token", "piece"))
-    valued = (
-        listed.join(table, "piece", "left")
-        .withColumn(
-            "value",
-            F.when(F.col("place").isNotNull() | F.col("bytes").isNotNull(), F.col("bytes")).otherwise(
-                F.raise_error(F.concat(F.lit("no such token: "), F.coalesce(F.col("piece").cast("string"), F.lit("null"))))
-            ),
-        )
-        .select("segment", "place", "items", "row", "value", "at")
-    )
-    done = _put_in_place(valued, kind, "_bytes", False)
-    return done.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(others)], F.col("_bytes").alias(name))
+    carried = [f"c{i}" for i in range(len(others))]
+    rows = coded.select(*[F.col(c).alias(a) for c, a in zip(others, carried)], F.col(ids).cast("array<int>").alias("ids"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("decoded", BinaryType())])
+    done = rows.mapInArrow(_decode(tokenizer.sent(coded.sparkSession), carried, schema.names), schema)
+    return done.select(*[F.col(a).alias(c) for c, a in zip(others, carried)], F.col("decoded").alias(name))
