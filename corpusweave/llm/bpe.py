@@ -15,7 +15,6 @@ import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from corpusweave.llm.tables import task_count
-from corpusweave.llm.words import ramps, slices
+from corpusweave.llm.words import Words, ramps, slices
 
 #: Bytes of text in a segment; a longer text is a segment of its own.
 SEGMENT_BYTES = 4 << 20
@@ -37,10 +36,11 @@ BUCKET_BYTES = 16 << 20
 #: Tokens that are decoded at a time.
 _DECODED = 1 << 20
 _PART_BITS = 33
-_BETWEEN = b"\xff"  # no byte of UTF-8
+_BETWEEN = 0xFF  # no byte of UTF-8
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 # Bytes that white space beyond ASCII ends with; text is not cut after these.
 _MAY_BE_WHITE = np.zeros(256, dtype=bool)
 _MAY_BE_WHITE[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
@@ -111,22 +111,32 @@ def _ids_packed(ids: list[int]) -> bytes:
 def _pieces(data: np.ndarray, offsets: np.ndarray, find) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """How many words each text has, the numbers of the words in order, and the distinct words, frequent ones first.
 
-    White space after something else begins a new word whatever follows, so the text is cut there and the pattern
-    runs once on each distinct cut.
+    White space after something else begins a new word whatever follows, and so does what is no letter after a letter;
+    the text is cut there, and the pattern runs once on each distinct cut.
     """
     if not len(data):
-        return np.zeros(len(offsets) - 1, dtype=np.int64), np.zeros(0, dtype=np.int64), pa.array([], pa.string())
+        return np.zeros(len(offsets) - 1, dtype=np.int64), np.zeros(0, dtype=np.int64), pa.array([], pa.large_string())
     white = _WHITE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[1:-1] = white[1:] & ~white[:-1] & ~_MAY_BE_WHITE[data[:-1]]
+    edge[1:-1] |= _LETTER[data[:-1]] & (data[1:] < 128) & ~_LETTER[data[1:]]
     edge[offsets] = True
     bounds = np.flatnonzero(edge)
     parts = [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
     cuts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, parts).dictionary_encode()
-    found = [find(cut.decode()) for cut in cuts.dictionary.to_pylist()]
-    words = pa.array([word for some in found for word in some], pa.string()).dictionary_encode()
-    count = np.array([len(some) for some in found], dtype=np.int64)
-    first = np.cumsum(count) - count
+    kinds, begin, letters = cuts.dictionary, *_letters(cuts.dictionary)
+    # ASCII letters after one space or none are a word.
+    whole = (letters == np.diff(begin)) & (letters > 0)
+    found = [find(cut.decode()) for cut in kinds.filter(pa.array(~whole)).to_pylist()]
+    one = kinds.filter(pa.array(whole)).cast(pa.large_string())
+    words = pa.concat_arrays(
+        [one, pa.array([word for some in found for word in some], pa.large_string())]
+    ).dictionary_encode()
+    count = np.ones(len(kinds), dtype=np.int64)
+    count[~whole] = [len(some) for some in found]
+    first = np.empty(len(kinds), dtype=np.int64)
+    first[whole] = np.arange(len(one))
+    first[~whole] = len(one) + np.cumsum(count[~whole]) - count[~whole]
     cut = cuts.indices.to_numpy(zero_copy_only=False)
     code = words.indices.to_numpy(zero_copy_only=False)[ramps(first[cut], count[cut])]
     upto = np.concatenate([[0], np.cumsum(count[cut])])
@@ -136,6 +146,21 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, find) -> tuple[np.ndarray, np
     return np.diff(upto[np.searchsorted(bounds, offsets)]), rank[code], words.dictionary.take(pa.array(order))
 
 
+def _letters(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value begins, and how many ASCII letters it has, a space before them included."""
+    data, begin = _bytes(values)
+    counted = np.concatenate([[0], np.cumsum(_LETTER[data])])
+    start = begin[:-1]
+    return begin, counted[begin[1:]] - counted[start] + (data[np.minimum(start, len(data) - 1)] == 0x20)
+
+
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large column without nulls and where each value begins, then the end."""
+    _, offsets, data = values.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def _segments(batches: Iterator[pa.RecordBatch], pattern: str):
     """``segment, rows, counts, codes, words`` of the segments of a task."""
     find = regex.compile(pattern).findall
@@ -149,20 +174,27 @@ def _segments(batches: Iterator[pa.RecordBatch], pattern: str):
 def _send_words(pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segment, _, _, _, words in _segments(batches, pattern):
-            texts = words.to_pylist()
-            raw = [text.encode() for text in texts]
-            to = np.array([crc32(word) for word in raw], dtype=np.int64) % buckets
+            if not len(words):
+                continue
+            data, begin = _bytes(words)
+            hashed = Words(data, begin, begin[:-1], begin[1:], begin[:1]).hashes()
+            to = (hashed % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             some, first = np.unique(to[order], return_index=True)
             edge = np.append(first, len(order))
             step = np.diff(order, prepend=0)
             step[first] = order[first]
+            data, begin = _bytes(words.take(pa.array(order)))
+            joined = np.full(len(data) + len(order), _BETWEEN, dtype=np.uint8)  # a byte after each word
+            joined[np.arange(len(data)) + np.repeat(np.arange(len(order)), np.diff(begin))] = data
+            parts = [None, pa.py_buffer(begin[edge] + edge), pa.py_buffer(joined)]
+            sent = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), parts)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(some, pa.int64()),
                     pa.array(np.full(len(some), segment), pa.int64()),
                     _packed(step, edge),
-                    pa.array([_BETWEEN.join(raw[i] for i in order[a:b]) for a, b in zip(edge, edge[1:])], pa.binary()),
+                    sent.cast(pa.binary()),
                 ],
                 names=["bucket", "segment", "codes", "words"],
             )
@@ -187,7 +219,7 @@ def _encode_words(lines: Broadcast):
                 if of != bucket:
                     known, bucket = {}, of
                 reply = []
-                for word in words.split(_BETWEEN):
+                for word in words.split(bytes([_BETWEEN]))[:-1]:
                     ids = known.get(word)
                     if ids is None:
                         ids = known[word] = _ids_packed(encoding.encode_ordinary(word.decode()))
