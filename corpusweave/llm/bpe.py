@@ -34,7 +34,7 @@ SEGMENT_BYTES = 4 << 20
 #: Bytes of text to a bucket of words: what all its distinct words can take at most, on average.
 BUCKET_BYTES = 16 << 20
 #: Tokens that are decoded at a time.
-_DECODED = 1 << 20
+_DECODED = 1 << 18
 _PART_BITS = 33
 _BETWEEN = 0xFF  # no byte of UTF-8
 
