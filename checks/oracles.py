@@ -262,3 +262,68 @@ def mst_weights(min_samples: int) -> str:
         ended AS (SELECT id, w FROM grow WHERE step = (SELECT max(step) FROM grow))
         SELECT row_number() OVER (ORDER BY w)::INT AS place, round(w, 6) AS weight
         FROM ended WHERE id <> (SELECT min(vec_id) FROM embeddings)"""
+
+
+def density_labels(points: str, min_cluster_size: int, min_samples: int, digits: int) -> str:
+    """CTEs up to ``labels(id, label)`` for the statement ``points``, which gives ``id`` and ``v``.
+
+    Prim's algorithm visits the points in an order in which every component, at every weight, is an interval: a point and
+    its neighbour in that order are apart by the weight at which the later one was reached. So components are the widest
+    intervals without a longer weight inside, their clusters follow from sizes, and sums are taken in whole numbers.
+    """
+    return f"""
+        RECURSIVE pts AS MATERIALIZED ({points}),
+        pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d FROM pts a JOIN pts b ON a.id <> b.id),
+        ranked AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS rank, count(*) OVER (PARTITION BY a) AS n FROM pairs),
+        core AS MATERIALIZED (SELECT a, d AS core FROM ranked WHERE rank = least({min_samples}, n)),
+        reach AS MATERIALIZED (SELECT p.a, p.b, greatest(x.core, y.core, p.d) AS w FROM pairs p JOIN core x ON x.a = p.a JOIN core y ON y.a = p.b),
+        grow AS (
+          SELECT 0 AS step, id, CASE WHEN id = f.first THEN -1.0::DOUBLE ELSE 'infinity'::DOUBLE END AS w, NULL::INT AS place
+          FROM pts, (SELECT min(id) AS first FROM pts) f
+          UNION ALL (
+            WITH pick AS (SELECT min({{'w': w, 'id': id}}) AS p FROM grow WHERE place IS NULL)
+            SELECT g.step + 1, g.id,
+                   CASE WHEN g.place IS NOT NULL OR g.id = pick.p.id THEN g.w ELSE least(g.w, r.w) END,
+                   CASE WHEN g.id = pick.p.id THEN g.step ELSE g.place END
+            FROM grow g, pick LEFT JOIN reach r ON r.a = pick.p.id AND r.b = g.id
+            WHERE pick.p IS NOT NULL
+          )
+        ),
+        raw AS (SELECT place, id, CASE WHEN place > 0 THEN round(w, {digits}) END AS w FROM grow WHERE step = (SELECT max(step) FROM grow)),
+        far AS (SELECT CASE WHEN max(w) > 0 THEN max(w) ELSE 1.0 END AS far FROM raw),
+        seq AS MATERIALIZED (SELECT place, id, w, round(far / greatest(w, far * 1e-12) / 1e-9)::HUGEINT AS d FROM raw, far),
+        spans AS (
+          SELECT DISTINCT coalesce((SELECT max(l.place) FROM seq l WHERE l.place < s.place AND l.w > s.w), 0) AS s,
+                 coalesce((SELECT min(r.place) FROM seq r WHERE r.place > s.place AND r.w > s.w) - 1, (SELECT max(place) FROM seq)) AS e, d
+          FROM seq s WHERE w IS NOT NULL
+        ),
+        big AS MATERIALIZED (SELECT s, e, d, e - s + 1 AS n FROM spans WHERE e - s + 1 >= {min_cluster_size}),
+        up AS (
+          SELECT c.s, c.e, min({{'n': p.n, 's': p.s}}) AS p FROM big c JOIN big p ON p.s <= c.s AND p.e >= c.e AND p.n > c.n GROUP BY c.s, c.e
+        ),
+        kids AS (SELECT p.s AS s, p.n AS n, count(*) AS kids FROM up GROUP BY ALL),
+        born AS MATERIALIZED (
+          SELECT row_number() OVER (ORDER BY b.n, b.s) AS no, b.s, b.e, b.n, b.d
+          FROM big b LEFT JOIN kids k ON k.s = b.s AND k.n = b.n WHERE coalesce(k.kids, 0) <> 1
+        ),
+        owned AS (SELECT g.s, g.e, g.n, g.d, max({{'n': c.n, 'no': c.no}}).no AS no FROM big g JOIN born c ON c.s >= g.s AND c.e <= g.e GROUP BY ALL),
+        gains AS (SELECT no, n, d, n - coalesce(lag(n) OVER (PARTITION BY no ORDER BY n), 0) AS more FROM owned),
+        mass AS (SELECT no, sum(more::HUGEINT * d)::HUGEINT AS mass, max(n) AS own FROM gains GROUP BY no),
+        above AS (SELECT c.no, min({{'n': p.n, 'no': p.no}}).no AS parent FROM born c JOIN born p ON p.s <= c.s AND p.e >= c.e AND p.n > c.n GROUP BY c.no),
+        ended AS MATERIALIZED (
+          SELECT a.no, a.parent, m.mass - m.own::HUGEINT * p.d AS worth FROM above a JOIN mass m USING (no) JOIN born p ON p.no = a.parent
+        ),
+        below AS MATERIALIZED (
+          SELECT list_reduce(
+            [(SELECT list_transform(range(1, 1 + count(*)), lambda i: 0::HUGEINT) FROM born)]
+              || coalesce((SELECT list([no::HUGEINT, parent::HUGEINT, worth] ORDER BY no) FROM ended), []::HUGEINT[][]),
+            lambda known, c: list_transform(known, lambda x, i: x + CASE WHEN i = c[2] THEN greatest(c[3], known[c[1]::INT]) ELSE 0 END)
+          ) AS known
+        ),
+        chosen AS (SELECT c.no, b.s, b.e, b.n FROM ended c JOIN born b USING (no), below WHERE c.worth >= known[c.no]),
+        inner_most AS (SELECT q.id, min({{'n': g.n, 'no': g.no}}).no AS no FROM seq q JOIN owned g ON q.place BETWEEN g.s AND g.e GROUP BY q.id),
+        tops AS (
+          SELECT i.id, max({{'n': c.n, 'no': c.no}}).no AS top FROM inner_most i JOIN born b USING (no) JOIN chosen c ON c.s <= b.s AND c.e >= b.e GROUP BY i.id
+        ),
+        numbers AS (SELECT top, row_number() OVER (ORDER BY min(id)) - 1 AS label FROM tops GROUP BY top),
+        labels AS (SELECT q.id, coalesce(n.label, -1)::INT AS label FROM pts q LEFT JOIN tops USING (id) LEFT JOIN numbers n USING (top))"""

@@ -672,9 +672,13 @@ def spanning_tree_weights(spark, sf):
     return placed.select(F.col("place").cast("int").alias("place"), F.round("weight", 6).alias("weight"))
 
 
-@register("density_labels")
+@register(
+    "density_labels",
+    f"WITH {O.density_labels('SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings', 5, 5, TIE_DIGITS)} "
+    "SELECT id AS vec_id, label AS cluster_label FROM labels",
+)
 def density_labels(spark, sf):
-    return D.density_labels(vectors(spark, sf), 5)
+    return D.density_labels(vectors(spark, sf), 5, tie_digits=TIE_DIGITS)
 
 
 @register(
@@ -717,19 +721,20 @@ def group_summary(spark, sf):
 
 # --- Files --------------------------------------------------------------------------------------
 
-_FOLDERS: dict[tuple[str, str], str] = {}
+_FOLDERS: dict[tuple[str, str, str], str] = {}
 
 
-def document_files(spark: SparkSession, sf: str) -> str:
+def document_files(spark: SparkSession, sf: str, text: F.Column | None = None) -> str:
     """A folder with one text file per document, written by Spark next to the checkpoints.
 
     The text writer ends each file with a line break of its own.
     """
-    known = (spark.sparkContext.applicationId, sf)
+    text = F.col("text") if text is None else text
+    known = (spark.sparkContext.applicationId, sf, str(text))
     if known not in _FOLDERS:
         ensure_checkpoint_dir(spark)
         folder = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
-        rows = documents(spark, sf).select("doc_id", F.col("text").alias("value"))
+        rows = documents(spark, sf).select("doc_id", text.alias("value"))
         rows.write.partitionBy("doc_id").text(folder)
         _FOLDERS[known] = folder
     return _FOLDERS[known]
@@ -794,7 +799,24 @@ def embedded_file_segments(spark, sf):
     return found.select(doc_of("source_path"), "status", "segment_count", F.inline("segments"))
 
 
-@register("grouped_files")
+_FILE_TEXT = "CASE WHEN doc_id % 25 = 3 THEN ' ' ELSE text END"
+# The path orders the files, and so numbers their groups.
+_FILE_GROUPS = O.density_labels(
+    f"SELECT 'doc_id=' || doc_id AS id, {O.embed(_FILE_TEXT)} AS v FROM documents "
+    f"WHERE doc_id % 25 <> 3 AND text IS NOT NULL AND strlen(text) = length(text) AND trim(text, ' \t\n\r') <> ''",
+    3, 3, TIE_DIGITS,
+)
+
+
+@register(
+    "grouped_files",
+    f"WITH {_FILE_GROUPS} SELECT doc_id, coalesce(label, -1) AS cluster_label, "
+    f"CASE WHEN strlen({_FILE_TEXT}) > length({_FILE_TEXT}) THEN 'undecodable' WHEN label IS NULL THEN 'empty' END AS note "
+    "FROM documents LEFT JOIN labels ON id = 'doc_id=' || doc_id",
+)
 def grouped_files(spark, sf):
-    found = PF.group_files(spark, document_files(spark, sf), HASHED, min_cluster_size=3)
-    return found.select(doc_of("path"), "cluster_label", "note")
+    """Files read as ASCII: those with other characters cannot be decoded, and some are blank."""
+    folder = document_files(spark, sf, F.when(F.col("doc_id") % 25 == 3, " ").otherwise(F.col("text")))
+    found = PF.group_files(spark, folder, HASHED, encodings=["ascii"], min_cluster_size=3, tie_digits=TIE_DIGITS)
+    kind = F.when(F.col("note").startswith(S.NOTE_DECODE_FAILED), "undecodable").when(F.col("note") == S.NOTE_EMPTY, "empty")
+    return found.select(doc_of("path"), "cluster_label", kind.alias("note"))

@@ -95,11 +95,15 @@ def density(points, least, min_samples):
     done[0] = True
     for _ in range(n - 1):
         j = int(np.where(done, np.inf, best).argmin())
-        edges.append((max(float(best[j]), 1e-12), int(source[j]), j))
+        edges.append((float(best[j]), int(source[j]), j))
         done[j] = True
         source[reach[j] < best] = j
         best = np.minimum(best, reach[j])
 
+    least_weight = max((w for w, _, _ in edges), default=1.0) * 1e-12 or 1e-12
+    total = sum(w for w, _, _ in edges)
+    edges = [(max(w, least_weight), a, b) for w, a, b in edges]
+
     def parts(nodes, links):
         near = {i: [] for i in nodes}
         for _, a, b in links:
@@ -146,4 +150,4 @@ def density(points, least, min_samples):
         for label, nodes in enumerate(sorted(choose(grow(list(range(n)), edges, 0.0), True)[1], key=min)):
             for i in nodes:
                 labels[i] = label
-    return labels, sum(w for w, _, _ in edges)
+    return labels, total
