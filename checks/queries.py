@@ -231,6 +231,35 @@ def model_embedding(spark, sf):
     )
 
 
+def _picky():
+    def predict(texts):
+        for t in texts:
+            if len(t) % 5 == 0:
+                raise ValueError(f"cannot embed {len(t)} characters")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    return predict
+
+
+_REFUSED = (
+    f"c AS ({listed_sql('documents', 'doc_id', O.chunks('text', sizes(DEFAULT)), 't')}), "
+    "f AS (SELECT doc_id, min_by('cannot embed ' || length(t) || ' characters', position) AS message FROM c "
+    "WHERE length(t) % 5 = 0 GROUP BY doc_id)"
+)
+
+
+@register(
+    "model_failures",
+    f"WITH {_REFUSED} SELECT doc_id AS file_id, CASE WHEN message IS NOT NULL THEN 'ERROR' "
+    "WHEN EXISTS (FROM c WHERE c.doc_id = documents.doc_id) THEN 'OK' ELSE 'NO_CONTENT' END AS status, "
+    "message AS error_message FROM documents LEFT JOIN f USING (doc_id)",
+)
+def model_failures(spark, sf):
+    """A model that raises on some chunks: their documents fail with its message, the others stay whole."""
+    found = P.summarize_documents(documents(spark, sf), model_embedder(_picky, name="picky", batch_size=16))
+    return found.select("file_id", "status", "error_message")
+
+
 @register("whole_document_embedding", elements_sql("documents", "doc_id", O.embed("text")))
 def whole_document_embedding(spark, sf):
     return elements(V.embed_column(documents(spark, sf), HASHED), ["doc_id"], "embedding")

@@ -19,6 +19,10 @@ from corpusweave import params
 from corpusweave.functions import text as T
 from corpusweave.functions.vectors import l2_normalize
 
+_ATTEMPT = St.StructType(
+    [St.StructField("vector", St.ArrayType(St.FloatType())), St.StructField("error", St.StringType())]
+)
+
 PredictFn = Callable[[list[str]], Sequence[Sequence[float] | None]]
 
 
@@ -27,16 +31,32 @@ class Embedder:
     name: str
     embed: Callable[[Column], Column]
     total: bool = False
+    #: A struct ``(vector, error)`` of a text column, for embedders that can fail.
+    attempt: Callable[[Column], Column] | None = None
+
+    def embed_or_error(self, text: Column) -> Column:
+        """Struct ``(vector, error)``: the message of the failure where there is no vector because of one."""
+        if self.attempt is not None:
+            return self.attempt(text)
+        return F.struct(self.embed(text).alias("vector"), F.lit(None).cast("string").alias("error"))
 
 
-def _tried(predict: PredictFn, texts: list[str]) -> Sequence[Sequence[float] | None]:
-    """Vectors of a batch; a text that fails takes no other with it."""
+def _tried(predict: PredictFn, texts: list[str]) -> list[tuple[Sequence[float] | None, str | None]]:
+    """Vector or message of each text; a batch that fails is halved until the texts that fail are alone."""
     try:
-        return predict(texts)
-    except Exception:
+        found = predict(texts)
+    except Exception as failure:
         if len(texts) == 1:
-            return [None]
-    return [vector for text in texts for vector in _tried(predict, [text])]
+            return [(None, str(failure) or type(failure).__name__)]
+        half = len(texts) // 2
+        return _tried(predict, texts[:half]) + _tried(predict, texts[half:])
+    if len(found) != len(texts):
+        raise WrongCount("the model returned a different number of vectors than texts")
+    return [(vector, None) for vector in found]
+
+
+class WrongCount(ValueError):
+    """A model that does not give one vector per text cannot be used at all."""
 
 
 def model_embedder(
@@ -50,25 +70,27 @@ def model_embedder(
     ``make_predict_fn`` runs once per Python task and returns a function from a list of texts to a
     vector per text, or ``None`` for a text it cannot embed. The model sees batches of at most
     ``batch_size`` texts and never sees a null or blank text: these get a null vector. If it raises on
-    a batch, it is asked again text by text, and a text it raises on gets a null vector, too.
+    a batch, the batch is halved and asked again, so that one failing text costs about twice the logarithm of
+    the batch size in calls; a text that it raises on alone gets a null vector and the message.
     """
     params.positive_int("batch_size", batch_size)
 
-    def embed_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def attempt_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predict = make_predict_fn()
         for texts in batches:
-            vectors: list = [None] * len(texts)
+            found: list[tuple] = [(None, None)] * len(texts)
             wanted = [i for i, t in enumerate(texts) if t is not None and t.strip()]
             for at in range(0, len(wanted), batch_size):
                 rows = wanted[at : at + batch_size]
-                found = _tried(predict, [texts.iloc[i] for i in rows])
-                if len(found) != len(rows):
-                    raise ValueError("the model returned a different number of vectors than texts")
-                for i, vector in zip(rows, found):
-                    vectors[i] = vector
-            yield pd.Series(vectors, dtype=object)
-
-    return Embedder(name, F.pandas_udf(embed_batches, St.ArrayType(St.FloatType())))
+                for i, result in zip(rows, _tried(predict, [texts.iloc[i] for i in rows])):
+                    found[i] = result
+            vectors, errors = zip(*found) if found else ((), ())
+            yield pd.DataFrame(
+                {"vector": pd.Series(vectors, dtype=object), "error": pd.Series(errors, dtype=object)}
+            )
+
+    attempt = F.pandas_udf(attempt_batches, _ATTEMPT)
+    return Embedder(name, lambda text: attempt(text)["vector"], attempt=attempt)
 
 
 def hashed_words(dim: int = 64) -> Embedder:

@@ -73,7 +73,8 @@ def summarize_documents(
 
     ``error`` names a column with the message of a decoding failure, if there is one. Documents
     with few chunks never leave their partition; only the chunks of documents that are clustered
-    are embedded one by one and shuffled, once, by document.
+    are embedded one by one and shuffled, once, by document. A document with a chunk that the model
+    fails on is ``ERROR``, with the message of the first such chunk.
     """
     decode_error = F.col(error) if error else F.lit(None).cast("string")
     failed = (decode_error.isNotNull() | F.col(text).isNull()) if error else F.col(text).isNull()
@@ -103,20 +104,20 @@ def _sampled_documents(
     cut = once(base, chunks=F.when(ok, pieces).otherwise(F.array().cast("array<string>"))).drop("text")
     few = cut.filter(F.size("chunks") < clustering.min_sentences)
     if not embedder.total:
-        chunk_rows = few.select("file_id", F.explode_outer("chunks").alias("chunk")).filter(
+        chunk_rows = few.select("file_id", F.posexplode_outer("chunks").alias("index", "chunk")).filter(
             F.col("chunk").isNotNull()
         )
+        tried = chunk_rows.withColumn("tried", embedder.embed_or_error(F.col("chunk")))
         unembedded = (
-            chunk_rows.withColumn("vector", embedder.embed(F.col("chunk")))
-            .filter(F.col("vector").isNull())
+            tried.filter(F.col("tried.vector").isNull())
             .groupBy("file_id")
-            .agg(F.lit(True).alias("_failed"))
+            .agg(F.min_by(F.coalesce("tried.error", F.lit(EMBEDDING_ERROR)), "index").alias("_failure"))
         )
         few = (
             few.join(unembedded, "file_id", "left")
-            .withColumn("error_message", F.when(F.col("_failed"), EMBEDDING_ERROR).otherwise(F.col("error_message")))
-            .withColumn("status", F.when(F.col("_failed"), "ERROR").otherwise(F.col("status")))
-            .drop("_failed")
+            .withColumn("error_message", F.coalesce("_failure", "error_message"))
+            .withColumn("status", F.when(F.col("_failure").isNotNull(), "ERROR").otherwise(F.col("status")))
+            .drop("_failure")
         )
     return few.select(
         "file_id",
@@ -145,12 +146,18 @@ def _clustered_documents(
         base.filter((F.col("status") == "OK") & (F.length("text") >= shortest))
         .select("file_id", "text_bytes", F.posexplode_outer(many).alias("chunk_index", "chunk"))
         .filter(F.col("chunk").isNotNull())
-        .withColumn("embedding", embedder.embed(F.col("chunk")))
     )
+    if embedder.total:
+        rows, carry, failure = rows.withColumn("embedding", embedder.embed(F.col("chunk"))), ["chunk"], None
+    else:
+        tried = rows.withColumn("_tried", embedder.embed_or_error(F.col("chunk")))
+        failed = F.coalesce("_tried.error", F.when(F.col("_tried.vector").isNull(), EMBEDDING_ERROR))
+        rows = tried.select(*rows.columns, F.col("_tried.vector").alias("embedding"), failed.alias("failure"))
+        carry, failure = ["chunk", "failure"], F.get(F.filter("failure", lambda f: f.isNotNull()), F.lit(0))
     runs = kmeans_in_groups(
         rows,
         ["file_id", "text_bytes"],
-        carry=["chunk"],
+        carry=carry,
         max_clusters=clustering.max_clusters,
         tie_digits=tie_digits,
         allow_null_vectors=not embedder.total,
@@ -162,7 +169,7 @@ def _clustered_documents(
     return runs.select(
         "file_id",
         F.when(embedded, "OK").otherwise("ERROR").alias("status"),
-        F.when(~embedded, EMBEDDING_ERROR).alias("error_message"),
+        F.when(~embedded, EMBEDDING_ERROR if failure is None else failure).alias("error_message"),
         "text_bytes",
         F.size("chunk").alias("sentence_count"),
         F.when(embedded, found).otherwise(F.array().cast(_BLOCKS)).cast(_BLOCKS).alias("representative_blocks"),

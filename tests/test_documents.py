@@ -1,6 +1,7 @@
 from corpusweave import params
 from corpusweave.functions.embedding import hashed_words, model_embedder
 from corpusweave.plans.documents import EMBEDDING_ERROR, representative_listing, summarize_documents
+from corpusweave.plans.files import embed_segments
 
 LENGTHS = model_embedder(lambda: lambda texts: [None if "BAD" in t else [float(len(t))] for t in texts], name="lengths")
 SMALL = params.ClusterSettings(max_clusters=4, min_sentences=2)
@@ -67,6 +68,29 @@ def test_a_chunk_that_cannot_be_embedded_fails_its_document_only(spark):
     assert rows["many"]["raw_features"]["sentence_count"] == 10 and rows["few"]["raw_features"]["sentence_count"] == 1
 
 
+def test_the_message_of_the_model_is_kept(spark):
+    def make():
+        def predict(texts):
+            for t in texts:
+                if "BAD" in t:
+                    raise RuntimeError(f"refused: {t}")
+            return [[1.0, float(len(t))] for t in texts]
+
+        return predict
+
+    texts = [("few", "BAD"), ("many", "\n\n".join(["fine text"] * 9 + ["BAD one", "BAD two"])), ("good", "good")]
+    df = spark.createDataFrame(texts, "doc_id string, text string").coalesce(1)
+    model, chunking = model_embedder(make, name="m"), params.ChunkSettings(5, 10, 0)
+    rows = {r["file_id"]: r for r in summarize_documents(df, model, chunking=chunking).collect()}
+    assert {k: (r["status"], r["error_message"]) for k, r in rows.items()} == {
+        "few": ("ERROR", "refused: BAD"), "many": ("ERROR", "refused: BAD one"), "good": ("OK", None),
+    }
+    segments = embed_segments(df, model, key="doc_id", error=None, chunking=chunking)
+    assert {r["source_path"]: (r["status"], r["error_message"], r["segment_count"]) for r in segments.collect()} == {
+        "few": ("ERROR", "refused: BAD", 1), "many": ("ERROR", "refused: BAD one", 11), "good": ("OK", None, 1),
+    }
+
+
 def test_weak_clusters_leave_an_empty_summary(spark):
     text = "\n\n".join(["a" * 3, "b" * 10])
     row = summarize(spark, [("x", text)], chunking=params.ChunkSettings(5, 10, 0), clustering=SMALL)["x"]

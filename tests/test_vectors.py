@@ -3,7 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpusweave.functions import vectors as VF
-from corpusweave.functions.embedding import hashed_words, model_embedder
+from corpusweave.functions.embedding import WrongCount, _tried, hashed_words, model_embedder
 from corpusweave.operators import vectors as V
 
 
@@ -87,3 +87,19 @@ def test_a_text_that_the_model_fails_on_takes_no_other_with_it(spark):
     rows = spark.createDataFrame([(1, "one"), (2, "bad one"), (3, "three"), (4, None)], "i int, text string").coalesce(1)
     found = {r["i"]: r["embedding"] for r in V.embed_column(rows, model_embedder(make, name="m")).collect()}
     assert found == {1: [3.0], 2: None, 3: [5.0], 4: None}
+
+
+def test_a_failing_text_costs_few_calls():
+    calls = []
+
+    def predict(texts):
+        calls.append(len(texts))
+        if "bad" in texts:
+            raise RuntimeError("bad text")
+        return [[1.0]] * len(texts)
+
+    found = _tried(predict, ["a"] * 37 + ["bad"] + ["b"] * 26)
+    assert found == [([1.0], None)] * 37 + [(None, "bad text")] + [([1.0], None)] * 26
+    assert len(calls) == 1 + 2 * 6
+    with pytest.raises(WrongCount):
+        _tried(lambda texts: [[1.0]], ["a", "b"])
