@@ -24,7 +24,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written copy.
 
-    Unlike cached blocks, the copy outlives the executors that wrote it.
+    Unlike cached blocks, the copy outlives the executors that wrote it. A checkpoint keeps the size that the
+    optimizer guessed for its origin, and a join's guess is the product of its sides, so that in a loop of joins the
+    number of its digits doubles with each round until multiplying them takes longer than the work. The copy
+    therefore starts again without a guess.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    plan = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.queryExecution().toRdd(), plan.schema(), False), spark)
