@@ -6,7 +6,7 @@ word once, as its rows stream by, and sends the ids back to the segments. There
 the numbers of their words in the order of their positions, and take the words' places. A word that stands everywhere
 comes once from each segment, and its bucket holds it once, so frequent words weigh on no task.
 
-Decoding joins the table of token bytes, which is as small as the vocabulary, to the ids of each batch.
+Decoding joins the table of token bytes, which is as small as the vocabulary and goes to every task, to the ids.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ import tiktoken
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 from corpusweave.llm.tables import task_count
 from corpusweave.llm.words import Words, ramps, slices
@@ -33,8 +32,6 @@ from corpusweave.llm.words import Words, ramps, slices
 SEGMENT_BYTES = 4 << 20
 #: Bytes of text to a bucket of words: what all its distinct words can take at most, on average.
 BUCKET_BYTES = 16 << 20
-#: Tokens that are decoded at a time.
-_DECODED = 1 << 18
 _PART_BITS = 33
 _BETWEEN = 0xFF  # no byte of UTF-8
 
@@ -303,53 +300,23 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str
 # --- Decoding ------------------------------------------------------------------------------------
 
 
-def _decode(lines: Broadcast, carried: list[str], names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, begin = None, None
-        for batch in batches:
-            if token is None:
-                # The table: where the bytes of each token begin and end among those of all.
-                table = sorted((rank, value) for value, rank in _ranks(lines.value).items())
-                token = np.array([rank for rank, _ in table])
-                flat = np.frombuffer(b"".join(value for _, value in table), dtype=np.uint8)
-                begin = np.concatenate([[0], np.cumsum([len(value) for _, value in table])])
-            for part in _parts(batch):
-                ids = part.column("ids")
-                found = ids.flatten().to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(token, found), len(token) - 1)
-                if (token[at] != found).any():
-                    raise ValueError("the table does not hold all tokens")
-                length = begin[at + 1] - begin[at]
-                out = flat[ramps(begin[at], length)]
-                count = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                edge = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(count)])]
-                buffers = [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(out)]
-                decoded = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, buffers)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), decoded], names=names)
-
-    return run
-
-
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with a bounded number of tokens; a longer row is one of its own."""
-    ends = np.cumsum(batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(ends):
-        before = int(ends[at - 1]) if at else 0
-        to = max(int(np.searchsorted(ends, before + _DECODED, side="right")), at + 1)
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def decode(coded: DataFrame, tokenizer: Tokenizer, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """The columns of ``coded`` but ``ids``, and ``name``: the bytes of its tokens, one row per row.
 
     Null and empty lists decode to no bytes. A token that the table doesn't hold, or a null one, raises an error. A
     column of ``coded`` that is called ``name`` is replaced.
+
+    The table of token bytes is a constant of the plan, so it meets the tokens where they are, in the JVM.
     """
+    with open(tokenizer.ranks, "rb") as file:
+        ranks = _ranks(file.read())
+    table = [""] * (max(ranks.values()) + 1)
+    for value, rank in ranks.items():
+        table[rank] = value.hex()
+    # Splitting a constant is done once, when the plan is made.
+    known = F.split(F.lit(",".join(table)), ",")
+    unknown = F.raise_error(F.lit("the table does not hold all tokens"))
+    found = F.transform(F.col(ids), lambda token: F.coalesce(F.nullif(F.get(known, token), F.lit("")), unknown))
     others = [c for c in coded.columns if c not in (ids, name)]
-    carried = [f"c{i}" for i in range(len(others))]
-    rows = coded.select(*[F.col(c).alias(a) for c, a in zip(others, carried)], F.col(ids).cast("array<int>").alias("ids"))
-    schema = StructType([*rows.schema.fields[:-1], StructField("decoded", BinaryType())])
-    done = rows.mapInArrow(_decode(tokenizer.sent(coded.sparkSession), carried, schema.names), schema)
-    return done.select(*[F.col(a).alias(c) for c, a in zip(others, carried)], F.col("decoded").alias(name))
+    decoded = F.coalesce(F.unhex(F.array_join(found, "")), F.lit(b""))
+    return coded.select(*[F.col(f"`{c}`") for c in others], decoded.alias(name))
