@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm.tables import written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    )
+def _least_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each batch of edges, an edge from every node to the least node that the batch's edges join it to."""
+    for batch in batches:
+        ends = np.concatenate([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")])
+        node, place = np.unique(ends, return_inverse=True)
+        u, v = np.split(place, 2)
+        least = np.arange(len(node))
+        while (apart := least[u] != least[v]).any():
+            x, y = least[u[apart]], least[v[apart]]
+            np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+            while (further := least[least] != least).any():
+                least[further] = least[least[further]]
+        own = np.flatnonzero(least != np.arange(len(node)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[least[own]])], names=["a", "b"])
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -34,15 +48,30 @@ def _stars(edges: DataFrame) -> DataFrame:
     )
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a lesser one at most, and then none from a greater one."""
+    ends = F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down"))
+    )
+    wrong = (
+        edges.select(F.inline(ends))
+        .groupBy("node")
+        .agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+        .where("down > 1 or (down = 1 and least = 0)")
+    )
+    return wrong.agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` for each node of the edges ``a, b``; the component is its least node.
+    """``node, component`` for each node of the edges ``a, b`` but the least of its component, which is named.
 
-    A node of very many edges is fine: its least neighbour is found by partial aggregates, and the
-    join on it can be split. Edges from a node to itself are left out; repeated ones count once.
+    Each task first joins what its own edges join, batch by batch, so that the steps begin with at most an
+    edge per node and batch. A node of very many edges is fine: its least neighbour is found by partial
+    aggregates, and the join on it can be split. Edges from a node to itself, or with a null end, are left
+    out; repeated ones count once.
     """
-    state, now = None, written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    while state != (new := _state(now)):
-        state, now = new, written(_stars(now))
+    ends = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    now = written(written(ends).mapInArrow(_least_of_batch, "a long, b long"))
+    while not _is_forest_of_stars(now):
+        now = written(_stars(now))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

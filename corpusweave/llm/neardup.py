@@ -24,8 +24,10 @@ PERCENT = 75
 ROWS = 3
 COLLECTIONS = 24
 SEED = 20240607
-#: Of the bit map of a set's hashes.
-_BITS = 1024
+#: Bits of a set's parity map: twice its size as a power of two, within these.
+_MIN_BITS, _MAX_BITS = 1024, 4096
+#: Shared items before its own that an item's row holds.
+_BEFORE = 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,22 +95,30 @@ def _signatures(width: int, rows: int, collections: int, seed: int):
     return run
 
 
+def _parities(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maps of 64-bit words, one after another, and where each begins: a bit tells whether an odd number of a set's
+    hashes falls on it. The place is a hash's last bits, so the two halves of a map xor to the map of half the size."""
+    n = np.diff(bounds)
+    size = 2 ** np.ceil(np.log2(np.clip(2 * n, _MIN_BITS, _MAX_BITS))).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(size)])
+    place = np.repeat(starts[:-1], n) + (value & np.repeat(size - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=starts[-1]) & 1).astype(bool)
+    return np.packbits(odd).view(np.int64), starts // 64
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch.column("text")):
                 value, bounds = shingle_sets(data, offsets, width)
-                n = len(bounds) - 1
-                bits = np.zeros(n * _BITS, dtype=bool)
-                bits[np.repeat(np.arange(n), np.diff(bounds)) * _BITS + (value >> np.uint64(54)).astype(np.int64)] = True
-                words = np.packbits(bits).view(np.int64)
+                bits, starts = _parities(value, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("_id").slice(part.start, part.stop - part.start),
                         pa.array(_per_text(np.bitwise_xor, value, bounds).view(np.int64)),
                         pa.array(np.diff(bounds).astype(np.int64)),
                         _lists(value.view(np.int64), bounds, pa.int64()),
-                        _lists(words, np.arange(n + 1) * (_BITS // 64), pa.int64()),
+                        _lists(bits, starts, pa.int64()),
                     ],
                     names=["rep", "f1", "n", "items", "bits"],
                 )
@@ -125,32 +135,55 @@ def _near_in_size(left: Column, right: Column, percent: int) -> Column:
 
 
 def _may_reach(bits_a: str, bits_b: str, n: Column, percent: int) -> Column:
-    """Bits in which two maps differ are a lower bound of the items in which the sets do."""
+    """Bits in which two parity maps differ are a lower bound of the items in which the sets do.
+
+    What both sets hold cancels out, so the bound is as good for long sets. The larger map is folded to the smaller's size.
+    """
+    words = F.least(F.size(bits_a), F.size(bits_b))
+
+    def folded(bits: str) -> Column:
+        return F.when(F.size(bits) > words, _folded(bits, words)).otherwise(F.col(bits))
+
     apart = F.aggregate(
-        F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+        F.zip_with(folded(bits_a), folded(bits_b), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0),
+        lambda total, x: total + x,
     )
     return apart * (100 + percent) <= n * (100 - percent)
 
 
+def _folded(bits: str, words: Column) -> Column:
+    """The map of ``words`` words: xor of the pieces of that length."""
+    return F.transform(
+        F.sequence(F.lit(1), words),
+        lambda at: F.aggregate(
+            F.sequence(at, F.size(bits), words),
+            F.lit(0).cast("long"),
+            lambda total, k: total.bitwiseXOR(F.element_at(bits, k)),
+        ),
+    )
+
+
 def _side(table: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return table.select(F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough.
-
-    Only the sets of pairs that may reach the similarity by their bit maps are brought together.
-    """
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that may reach the similarity by their maps."""
     small = ["n", "bits"]
-    likely = (
+    return (
         pairs.join(_side(sets, "a", small), "a")
         .join(_side(sets, "b", small), "b")
         .where(_may_reach("bits_a", "bits_b", F.col("n_a") + F.col("n_b"), percent))
         .select("a", "b")
     )
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets are similar enough."""
     common = F.size(F.array_intersect("items_a", "items_b"))
     return (
-        likely.join(_side(sets, "b", ["items"]), "b")
+        pairs.join(_side(sets, "b", ["items"]), "b")
         .join(_side(sets, "a", ["items"]), "a")
         .where(_reaches(common, F.size("items_a"), F.size("items_b"), percent))
         .select("a", "b")
@@ -205,9 +238,10 @@ def near_duplicates(
             _sets(width), "rep long, f1 long, n long, items array<long>, bits array<long>"
         )
     )
-    links = written(_confirmed(first_pairs, sets, percent))
-    more = _still_apart(live, sets, components(links), percent)
-    links = links.unionByName(_confirmed(written(more), sets, percent))
+    placed = components(_confirmed(_likely(first_pairs, sets, percent), sets, percent))
+    more = written(_still_apart(live, sets, placed, percent))
+    links = placed.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    links = links.unionByName(_confirmed(more, sets, percent))
     nodes = marked.drop("marks").join(distinct.drop("marks"), same, "left")
     nodes = written(nodes.select("_id", "n_shingles", F.expr("if(_id is null, null, coalesce(rep, _id))").alias("rep")))
     low = nodes.groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_high")).where("a < _high")
@@ -230,17 +264,16 @@ def _buckets(distinct: DataFrame) -> DataFrame:
 
     A small hash that no other set has can be in no shared table, so only shared ones are paired.
     """
-    marks = distinct.select("rep", F.posexplode("marks").alias("c", "mark"))
+    marks = distinct.select("rep", F.col("n_shingles").alias("n"), F.posexplode("marks").alias("c", "mark"))
     shared = marks.groupBy("mark").agg(F.count("*").alias("_n")).where("_n > 1").select("mark")
     alive = (
         marks.join(shared, "mark")
-        .groupBy("rep")
+        .groupBy("rep", "n")
         .agg(F.sort_array(F.collect_list(F.struct("c", "mark"))).alias("m"))
         .where("size(m) > 1")
     )
     tables = written(
-        alive.join(distinct.select("rep", F.col("n_shingles").alias("n")), "rep")
-        .select("rep", "n", F.posexplode("m").alias("at", "one"), "m")
+        alive.select("rep", "n", F.posexplode("m").alias("at", "one"), "m")
         .select("rep", "n", "one", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("two"))
         .select("rep", "n", F.xxhash64("one.c", "one.mark", "two.c", "two.mark").alias("bucket"))
     )
@@ -259,7 +292,9 @@ def _still_apart(live: DataFrame, sets: DataFrame, placed: DataFrame, percent: i
     A crowded bucket may hold very many sets just below the similarity, so its pairs are not listed.
     The sets of such buckets are brought together exactly, by their rarest shingles: two sets that
     are similar share one of the rarest ``n - least overlap + 1`` of each, in one order of all
-    shingles. A set with too many shingles of its own shares none.
+    shingles. A set with too many shingles of its own shares none. A pair that shares an item just
+    before another has been listed there, so it is not listed again; parity maps refute most pairs
+    below the similarity inside the join.
     """
     member = written(
         live.select("bucket", "rep")
@@ -274,11 +309,11 @@ def _still_apart(live: DataFrame, sets: DataFrame, placed: DataFrame, percent: i
     )
     suspects = member.join(crowded, "bucket").select("rep", "component").distinct()
     own = sets.join(suspects, "rep")
-    items = written(own.select("rep", "f1", F.explode("items").alias("item")))
+    items = written(own.select("rep", "f1", "n", "component", F.explode("items").alias("item")))
     common = items.groupBy("item").agg(F.count("*").alias("_df")).where("_df > 1")
     shared = (
         items.join(common, "item")
-        .groupBy("rep", "f1")
+        .groupBy("rep", "f1", "n", "component")
         .agg(F.sort_array(F.collect_list(F.struct("_df", "item"))).alias("shared"))
     )
     n = F.col("n")
@@ -290,19 +325,27 @@ def _still_apart(live: DataFrame, sets: DataFrame, placed: DataFrame, percent: i
         return F.greatest(n - least + 1 - lone, F.lit(0)).cast("int")
 
     to_probe, to_index = rare(percent, 100), rare(2 * percent, 100 + percent)
+    whole = ["rep", "n", "component", "bits"]
     rarest = written(
-        own.join(shared, ["rep", "f1"])
-        .where(to_probe > 0)
-        .select("rep", "n", "component", "bits", to_index.alias("_index"), F.slice("shared", F.lit(1), to_probe).alias("r"))
-        .select("rep", "n", "component", "bits", "_index", F.posexplode("r").alias("at", "one"))
-        .select("rep", "n", "component", "bits", F.col("one.item").alias("item"), (F.col("at") < F.col("_index")).alias("_first"))
+        shared.where(to_probe > 0)
+        .join(sets.select("rep", "f1", "bits"), ["rep", "f1"])
+        .select(*whole, to_index.alias("_index"), F.slice("shared.item", F.lit(1), to_probe).alias("r"))
+        .select(*whole, "_index", "r", F.posexplode("r").alias("at", "item"))
+        .select(*whole, "item", (F.col("at") < F.col("_index")).alias("_first"), _before("r", F.col("at")).alias("before"))
     )
-    shorter = rarest.where("_first").select("item", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component", "bits")))
+    shorter = rarest.where("_first").select("item", *(F.col(c).alias(f"{c}_a") for c in [*whole, "before"]))
     return (
         rarest.join(shorter, "item")
         .where(F.struct("n_a", "rep_a") < F.struct("n", "rep"))
         .where((F.col("component") != F.col("component_a")) & _near_in_size(n, F.col("n_a"), percent))
+        .where(~F.arrays_overlap("before", "before_a"))
         .where(_may_reach("bits_a", "bits", F.col("n_a") + n, percent))
         .select(F.col("rep_a").alias("a"), F.col("rep").alias("b"))
         .distinct()
     )
+
+
+def _before(items: str, at: Column) -> Column:
+    """The last few items before the one at place ``at``."""
+    few = F.least(at, F.lit(_BEFORE))
+    return F.slice(items, at - few + 1, few)

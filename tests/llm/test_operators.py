@@ -6,14 +6,16 @@ import re
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusweave.llm import language, quality, secrets, warc
+from corpusweave.llm import language, neardup, quality, secrets, warc
+from corpusweave.llm.components import components
 from corpusweave.llm.decontaminate import contaminated
 from corpusweave.llm.html import lines_of, main_text
 from corpusweave.llm.mixing import mix
-from corpusweave.llm.neardup import near_duplicates
+from corpusweave.llm.neardup import _may_reach, _parities, near_duplicates
 from corpusweave.llm.sharding import shuffle_into_shards
 from corpusweave.llm.substring import remove_repeats
 
@@ -110,6 +112,66 @@ def test_crowded_buckets_lose_no_link(spark):
     assert got == naive_groups(rows)
 
 
+def test_components_of_chains_stars_and_repeated_edges(spark):
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1100)] + [(5000 + 2 * i, 5001 + 2 * i) for i in range(50)]
+    edges += [(7, 7), (None, 3), (400, None)] + edges[:40]
+    edges = [e if rng.random() < 0.5 else e[::-1] for e in edges]
+    rng.shuffle(edges)
+    table_ = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    got = sorted((r.node, r.component) for r in components(table_).collect())
+    want = [(i, 0) for i in range(1, 301)] + [(i, 1000) for i in range(1001, 1100)] + [(5001 + 2 * i, 5000 + 2 * i) for i in range(50)]
+    assert got == want
+    assert components(table_.where("a = 7 and b = 7")).collect() == []
+
+
+def test_parity_maps_bound_the_difference(spark):
+    """Maps of sets of unlike sizes differ in at most as many bits as the sets in items."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (3, 500, 700, 1500, 3000)]
+    sets += [np.unique(np.concatenate([x[: len(x) * 4 // 5], rng.integers(0, 2**63, 40, dtype=np.uint64)])) for x in sets]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    bits, starts = _parities(np.concatenate(sets), bounds)
+    maps = [[int(v) for v in bits[a:b]] for a, b in zip(starts, starts[1:])]
+    pairs = [(i, j, maps[i], maps[j], len(sets[i]) + len(sets[j])) for i in range(len(sets)) for j in range(len(sets))]
+    df = spark.createDataFrame(pairs, "i int, j int, x array<long>, y array<long>, n int")
+    passed = {(r.i, r.j) for r in df.where(_may_reach("x", "y", F.col("n"), 75)).collect()}
+    near = set()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= 75 * (len(a) + len(b) - common):
+                near.add((i, j))
+    assert near <= passed
+    assert (4, 3) not in passed and (1, 2) not in passed and (3, 8) in near
+
+
+@pytest.mark.parametrize("words, edits", [(300, 6), (2000, 40)])
+def test_pairs_of_near_misses_grow_with_their_links(spark, words, edits, monkeypatch):
+    """Families of texts just below the similarity: what is listed stays near what is linked, and no link is lost."""
+    listed = []
+    plain = neardup._still_apart
+
+    def counted(*args):
+        out = plain(*args)
+        listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_still_apart", counted)
+    for size in (50, 100):
+        rng = random.Random(size)
+        base = [f"w{i}" for i in range(words)]
+        rows = []
+        for i in range(size):
+            own = list(base)
+            for at in rng.sample(range(words), edits):
+                own[at] = f"n{rng.randrange(3)}x{at}"
+            rows.append((i, " ".join(own)))
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(table(spark, rows)).collect()}
+        assert got == naive_groups(rows)
+    assert listed[-1] <= 4 * 100
+
+
 def naive_removal(rows):
     first, out = {}, {}
     for i, text in rows:
