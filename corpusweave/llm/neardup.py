@@ -137,33 +137,24 @@ def _near_in_size(left: Column, right: Column, percent: int) -> Column:
 def _may_reach(bits_a: str, bits_b: str, n: Column, percent: int) -> Column:
     """Bits in which two parity maps differ are a lower bound of the items in which the sets do.
 
-    What both sets hold cancels out, so the bound is as good for long sets. The larger map is folded to the smaller's size.
+    What both sets hold cancels out, so the bound is as good for long sets. The larger map is folded to the
+    smaller's size. ``get`` raises nothing, so that Catalyst may evaluate the bound within a join.
     """
+    a_is_longer = F.size(bits_a) > F.size(bits_b)
+    long, short = (F.when(a_is_longer, x).otherwise(F.col(y)) for x, y in ((F.col(bits_a), bits_b), (F.col(bits_b), bits_a)))
     words = F.least(F.size(bits_a), F.size(bits_b))
 
-    def folded(bits: str) -> Column:
-        return F.when(F.size(bits) > words, _folded(bits, words)).otherwise(F.col(bits))
+    def differing(x: Column, at: Column) -> Column:
+        for piece in range(_MAX_BITS // _MIN_BITS):
+            x = x.bitwiseXOR(F.coalesce(F.get(long, at + words * piece), F.lit(0).cast("long")))
+        return F.bit_count(x)
 
-    apart = F.aggregate(
-        F.zip_with(folded(bits_a), folded(bits_b), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-        F.lit(0),
-        lambda total, x: total + x,
-    )
+    same_size = F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    per_word = F.when(F.size(bits_a) == F.size(bits_b), same_size).otherwise(F.transform(short, differing))
+    apart = F.aggregate(per_word, F.lit(0), lambda total, x: total + x)
     return apart * (100 + percent) <= n * (100 - percent)
 
 
-def _folded(bits: str, words: Column) -> Column:
-    """The map of ``words`` words: xor of the pieces of that length."""
-    return F.transform(
-        F.sequence(F.lit(1), words),
-        lambda at: F.aggregate(
-            F.sequence(at, F.size(bits), words),
-            F.lit(0).cast("long"),
-            lambda total, k: total.bitwiseXOR(F.element_at(bits, k)),
-        ),
-    )
-
-
 def _side(table: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return table.select(F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
