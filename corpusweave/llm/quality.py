@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from corpusweave.llm.tables import within, written
+from corpusweave.llm.tables import set_aside, within, written
 from corpusweave.llm.words import find_words, mix, slices, windows
 
 REPEAT_WIDTH = 8
@@ -230,13 +230,14 @@ def judge(
 ) -> DataFrame:
     """Add ``_quality``: a struct of the counts of ``measured``, ``base_failed``, ``rejected``, ``kept``.
 
-    All rows and columns of ``docs`` stay as they are; no row moves. ``base_failed``: under 20 words, or more
+    All rows and columns of ``docs`` stay as they are, but for a ``_quality`` that was there; no row moves. ``base_failed``: under 20 words, or more
     than 30 % of them in repeated windows. ``rejected``: a cutoff of the stratum is exceeded.
     """
     cutoffs = select_cutoffs(docs, labels, key, text, stratum, quality)
+    docs, names = set_aside(docs, "_m")
     with_counts = docs.withColumn("_m", measured(F.col(text)))
     failed, rejected = _base_failed("_m."), _rejected(cutoffs, stratum, "_m.")
     return with_counts.withColumn(
         "_quality",
         F.struct("_m.*", failed.alias("base_failed"), rejected.alias("rejected"), (~failed & ~rejected).alias("kept")),
-    ).drop("_m")
+    ).drop("_m").withColumnsRenamed(names)

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.llm.tables import set_aside
+
 #: Kinds of spans, in the order in which spans of equal start are listed.
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = (
@@ -125,6 +127,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     Places are code points, the end exclusive. Null and empty texts have no spans. All rows and columns stay; no
     row moves, and texts of any length are searched whole.
     """
+    docs, names = set_aside(docs, "_base", "_words", "_more")
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     low = F.lower(raw)
     may_assign = F.lit(False)
@@ -163,7 +166,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
         "_more",
         lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
     )
-    return df.withColumn("_secrets", F.array_sort(F.concat("_base", fresh))).drop("_base", "_words", "_more")
+    return df.withColumn("_secrets", F.array_sort(F.concat("_base", fresh))).drop("_base", "_words", "_more").withColumnsRenamed(names)
 
 
 def words_none() -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusweave.llm.tables import written
+from corpusweave.llm.tables import set_aside, written
 
 SHARDS = 8
 SEED = 20240607
@@ -34,7 +34,8 @@ def shuffle_into_shards(
     shards (rows that repeat key and text change places among themselves only). Null keys and texts are
     hashed as such. ``docs`` may have any other columns but ``shard`` and ``slot``, which are replaced.
     """
-    payload = docs.drop("shard", "slot")
+    docs, names = set_aside(docs.drop("shard", "slot"), "_where", "_bucket", "_at", "_place", "_before", "_order")
+    payload = docs
     volume = payload.agg(
         F.sum(F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) + 1).alias("bytes"), F.count("*").alias("rows")
     ).first()
@@ -56,6 +57,7 @@ def shuffle_into_shards(
             }
         )
         .drop("_where", "_bucket", "_at", "_place", "_before", "_order")
+        .withColumnsRenamed(names)
     )
 
 

@@ -35,6 +35,20 @@ def ids(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)))
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns of these names, in any case, called otherwise, and what gives them their names back."""
+    taken = {c.lower() for c in df.columns}
+    back = {}
+    for column in df.columns:
+        if column.lower() in names:
+            other = f"{column}_aside"
+            while other.lower() in taken:
+                other += "_"
+            taken.add(other.lower())
+            back[other] = column
+    return df.withColumnsRenamed({old: new for new, old in back.items()}), back
+
+
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusweave.llm.queries import QUERIES
+from corpusweave.llm.secrets import find_secrets
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = {"doc_id", "text", "lang", "source", "n_chars"}
@@ -20,6 +21,15 @@ def test_query_covers_its_table(spark, name):
     rows = spark.read.parquet(f"{FOLDER}/{'pages' if key == 'page_id' else 'documents'}.parquet")
     if name.startswith("op8_"):
         assert set(got.columns) == {"doc_id", "item_id", "score", "word_from", "word_to"}
+    elif name.startswith("op13_"):  # up to ten rows per item, not one per document
+        assert {"item_id", "rank", "doc_id", "score"} <= set(got.columns)
+        items = {r.item_id for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id").collect()}
+        ranks = {}
+        for r in got.collect():
+            assert r.score > 0
+            ranks.setdefault(r.item_id, []).append(r["rank"])
+        assert ranks and set(ranks) <= items
+        assert all(len(x) <= 10 and sorted(x) == list(range(1, len(x) + 1)) for x in ranks.values())
     else:
         assert sorted(r[0] for r in got.select(key).collect()) == sorted(r[0] for r in rows.select(key).collect())
 
@@ -45,3 +55,16 @@ def test_stages(spark):
 
 def test_run(spark):
     assert {"shard", "slot"} | COLUMNS == set(corpus_pipeline.run(spark, FOLDER).columns)
+
+
+def test_columns_with_clashing_names_stay(spark):
+    clashing = ["_m", "_Quality", "_id", "_copies", "_copy", "_order", "_before", "_where", "_base", "_words", "_m_aside"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    extra = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in clashing})
+    keep = dict(corpus_pipeline.STAGES)
+    outs = [keep[s](spark, extra, FOLDER) for s in ("quality", "mixing", "sharding")] + [find_secrets(extra)]
+    plain = [keep[s](spark, docs, FOLDER) for s in ("quality", "mixing", "sharding")] + [find_secrets(docs)]
+    for out, want in zip(outs, plain):
+        assert out.columns == [*docs.columns, *clashing, *want.columns[len(docs.columns) :]]
+        assert out.where(" or ".join(f"`{c}` <> concat('{c}', doc_id)" for c in clashing)).count() == 0
+        assert sorted(out.select(*want.columns).collect()) == sorted(want.collect())
