@@ -14,7 +14,7 @@ from corpusweave.llm.mixing import mix
 from corpusweave.llm.neardup import near_duplicates
 from corpusweave.llm.quality import judge
 from corpusweave.llm.sharding import shuffle_into_shards
-from corpusweave.llm.tables import within, written
+from corpusweave.llm.tables import set_aside, within, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the cutoffs selected on the labelled ones."""
-    return judge(docs, _table(spark, sf_dir, "labels")).where("_quality.kept").drop("_quality")
+    """Documents that pass the base rules and the cutoffs selected on the labelled ones.
+
+    Null and empty texts have too few words and go; a null language is a stratum of its own.
+    """
+    docs, names = set_aside(docs, "_quality")
+    return judge(docs, _table(spark, sf_dir, "labels")).where("_quality.kept").drop("_quality").withColumnsRenamed(names)
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +43,14 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows that repeat an id share the larger number."""
+    """Each document as often as the mix takes it; rows that repeat an id, or have none, share the larger number."""
+    docs, names = set_aside(docs, "_id", "_copies", "_copy")
     copies = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
     return (
         docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
         .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
         .select(*docs.columns)
+        .withColumnsRenamed(names)
     )
 
 
@@ -61,7 +67,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Cutoffs with exact bounds, components and multipliers are beyond SQL; tests hold each stage against brute force.
+#: Cutoffs with exact bounds, components and multipliers are beyond SQL; tests hold the stages' columns, rows and planted copies.
 ORACLE_SQL = None
 
 
