@@ -51,12 +51,13 @@ q AS (SELECT doc_id, max(quality) > 0 AS fine FROM labels WHERE quality IS NOT N
 known AS (SELECT r.*, fine FROM r JOIN q USING (doc_id) WHERE NOT base_failed),
 own AS (SELECT lang FROM known GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {quality.MAX_STRATA}),
 pooled AS (SELECT known.*, coalesce(own.lang, 'others') AS stratum FROM known LEFT JOIN own USING (lang)),
-tests AS (SELECT greatest(count(DISTINCT stratum), 1) * (SELECT count(*) FROM g) AS n FROM pooled),
+tests AS (SELECT greatest(count(DISTINCT stratum), 1) * (SELECT count(DISTINCT rule) FROM g) AS n FROM pooled),
 lv AS (SELECT stratum, rule, share, place, cutoff, count(*) FILTER (WHERE fine) AS good, count(*) FILTER (WHERE NOT fine) AS bad,
   count(*) FILTER (WHERE fine AND x > cutoff) AS lost, count(*) FILTER (WHERE NOT fine AND x > cutoff) AS caught
   FROM pooled JOIN g USING (rule) GROUP BY ALL),
-safe AS (SELECT *, caught / bad - lost / good AS gain FROM lv, tests
-  WHERE caught > 0 AND good > 0 AND lost <= share * good AND {_TAIL} <= {quality.DELTA} / n),
+passed AS (SELECT lv.*, CASE WHEN good > 0 AND lost <= share * good THEN {_TAIL} <= {quality.DELTA} / n ELSE false END AS ok FROM lv, tests),
+safe AS (SELECT *, caught / bad - lost / good AS gain FROM passed
+  WHERE caught > 0 QUALIFY bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY place)),
 cut AS (SELECT stratum, rule, cutoff FROM safe WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, place) = 1),
 bad AS (SELECT DISTINCT doc_id FROM r LEFT JOIN own USING (lang) JOIN cut ON cut.stratum = coalesce(own.lang, 'others') AND cut.rule = r.rule WHERE x > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -1,10 +1,12 @@
 """Quality rules whose cutoffs are selected under risk control.
 
 Each rule rejects a document whose ratio is beyond a cutoff of a grid fixed beforehand. On the
-labelled documents of a stratum, a cutoff is allowed if the exact binomial test shows that it
-rejects at most the rule's share of good documents; the tests of all strata, rules and cutoffs
-together keep their error below ``DELTA`` (Bonferroni). Of the allowed cutoffs the one that parts
-bad from good best is taken, and the mildest of equals; without one, the rule rejects nothing.
+labelled documents of a stratum, an exact binomial test shows that a cutoff rejects at most the
+rule's share of good documents. The cutoffs of a rule are tested in fixed sequence, from mild to
+strict, and the first that fails ends the sequence; so only the number of strata and rules needs
+correcting for (Bonferroni), and all guarantees together fail with a chance of at most ``DELTA``.
+Of the cutoffs before that end the one that parts bad from good best is taken, and the mildest of
+equals; without one, the rule rejects nothing.
 """
 
 from __future__ import annotations
@@ -131,7 +133,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def _pick(levels: dict[tuple[int, int], int], rule: str, tests: int, delta: float) -> float | None:
-    """The cutoff of one stratum and rule; ``levels``: documents by cutoffs exceeded and quality."""
+    """The cutoff of one stratum and rule out of ``tests`` such sequences; ``levels``: documents by cutoffs exceeded and quality."""
     share, grid = RULES[rule]
     good = sum(n for (_, quality), n in levels.items() if quality)
     bad = sum(n for (_, quality), n in levels.items() if not quality)
@@ -141,7 +143,9 @@ def _pick(levels: dict[tuple[int, int], int], rule: str, tests: int, delta: floa
         beyond = len(grid) - at
         lost = sum(n for (level, quality), n in levels.items() if quality and level >= beyond)
         caught = sum(n for (level, quality), n in levels.items() if not quality and level >= beyond)
-        if not caught or not good or lost > share * good or binomial_tail(lost, good, share) > delta / tests:
+        if not good or lost > share * good or binomial_tail(lost, good, share) > delta / tests:
+            break
+        if not caught:
             continue
         gain = caught / bad - lost / good
         if gain > best:
@@ -190,7 +194,7 @@ def select_cutoffs(
     own = [r["_stratum"] for r in largest.collect()]
     pooled = F.when(F.col("_stratum").isin(own), F.col("_stratum")).otherwise(OTHERS)
     rows = counts.groupBy(pooled.alias("stratum"), "rule", "level", "_quality").agg(F.sum("n").alias("n")).collect()
-    tests = max(1, len({r["stratum"] for r in rows})) * sum(len(grid) for _, grid in RULES.values())
+    tests = max(1, len({r["stratum"] for r in rows})) * len(RULES)
     levels: dict[tuple[str, str], dict[tuple[int, int], int]] = {}
     for r in rows:
         levels.setdefault((r["stratum"], r["rule"]), {})[r["level"], int(r["_quality"] > 0)] = r["n"]

@@ -452,6 +452,43 @@ def test_cutoff_counts_those_beyond_it():
     assert quality._pick(levels, "symbols", 100, 0.05) == grid[0]
 
 
+def test_cutoffs_are_tested_in_sequence():
+    grid = quality.RULES["symbols"][1]
+    # 311 good labels bear a share of 2 % once the error is divided by 20 sequences, not by 20 times all cutoffs.
+    levels = {(0, 1): 311, (5, 0): 32, (0, 0): 1}
+    assert quality._pick(levels, "symbols", 20, 0.05) == grid[len(grid) - 5]
+    assert quality._pick(levels, "symbols", 4 * sum(len(g) for _, g in quality.RULES.values()), 0.05) is None
+    # A cutoff that fails ends the sequence for all stricter ones.
+    for lost in range(12):
+        levels = {(0, 1): 1000 - lost, (3, 1): lost, (2, 0): 50, (4, 0): 10}
+        allowed = quality.binomial_tail(lost, 1000, 0.02) <= 0.05 / 20
+        assert quality._pick(levels, "symbols", 20, 0.05) == grid[len(grid) - (2 if allowed else 4)]
+
+
+def test_every_rule_selects(spark):
+    """Junk of five kinds, each beyond one rule's cutoffs only, among enough good labels in two strata."""
+    plain = lambda i, n=60: [f"word{(i * 7 + j) % 400}" for j in range(n)]
+    junk = {
+        "symbols": lambda i: " ".join(w + ("###" if j % 2 else "") for j, w in enumerate(plain(i))),
+        "repeats": lambda i: " ".join(plain(i, 80) + 2 * [f"w{i}x{j}" for j in range(11)]),
+        "dup_lines": lambda i: "\n".join(["same"] * 15 + [f"line {i} {j}" for j in range(15)]),
+        "long_words": lambda i: " ".join(f"{'abcdefghijkl'}{(i * 7 + j) % 400:03}" for j in range(60)),
+        "short_words": lambda i: " ".join("ab"[(i * j * j + j) % 2] if j % 3 else f"{(i + j) % 90}" for j in range(25)),
+    }
+    rows = [(i, " ".join(plain(i)), "de" if i % 2 else "en", 1) for i in range(2800)]
+    rows += [
+        (10_000 + 1000 * at + i, make(i), "de" if i % 2 else "en", 0)
+        for at, make in enumerate(junk.values())
+        for i in range(40)
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3], 0) for r in rows], "doc_id long, quality int, toxic int")
+    cutoffs = quality.select_cutoffs(df, labels)
+    assert all(cutoffs[lang][rule] is not None for lang in ("de", "en") for rule in junk)
+    kept = {r.doc_id: r._quality.kept for r in quality.judge(df, labels).collect()}
+    assert all(kept[r[0]] == bool(r[3]) for r in rows)
+
+
 def test_skipped_elements_may_hold_articles():
     cards = "".join(f"<article class=card><h3>Teaser {i}</h3><p>{'Short text. ' * 9}</p></article>" for i in range(3))
     body = "<div><p>" + "The real text of the page. " * 9 + "</p></div>"
