@@ -778,9 +778,43 @@ def file_ordinals(spark, sf):
     return S.with_file_ids(read_table(spark, sf, "pages").select(F.col("url").alias("path")))
 
 
-@register("scanned_files", "SELECT doc_id, (strlen(text) + 1)::BIGINT AS length FROM documents")
+_CP949 = "문서 "  # what the files in the second encoding start with
+
+
+def mixed_files(spark: SparkSession, sf: str) -> str:
+    """A folder with one file per document: hidden, below hidden folders, empty, in cp949, in no encoding, of other names."""
+    known = (spark.sparkContext.applicationId, sf, "mixed")
+    if known not in _FOLDERS:
+        ensure_checkpoint_dir(spark)
+        folder = f"{spark.sparkContext.getCheckpointDir()}/mixed-{uuid.uuid4().hex}"
+        kind, text = F.col("doc_id") % 25, F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+        leaf = (
+            F.when(kind == 0, ".hidden.txt").when(kind == 1, "_kept.txt").when(kind == 5, "other.md").when(kind == 6, "UPPER.TXT")
+            .otherwise("plain.txt")
+        )
+        content = (
+            F.when(kind == 2, F.lit(b""))
+            .when(kind == 3, F.concat(F.lit(_CP949.encode("cp949")), F.encode(F.col("doc_id").cast("string"), "UTF-8")))
+            .when(kind == 4, F.concat(F.lit(b"\xff"), text))
+            .otherwise(text)
+        )
+        above = F.when(kind == 7, ".below/").otherwise("")
+        rows = documents(spark, sf).select(F.concat(above, F.lit("doc_id="), "doc_id", F.lit("/"), leaf).alias("name"), content.alias("content"))
+        sinks.write_files(rows, folder)
+        _FOLDERS[known] = folder
+    return _FOLDERS[known]
+
+
+_CP949_BYTES = len(_CP949.encode("cp949"))
+
+
+@register(
+    "scanned_files",
+    f"SELECT doc_id, CASE doc_id % 25 WHEN 2 THEN 0 WHEN 3 THEN {_CP949_BYTES} + length(doc_id::VARCHAR) WHEN 4 THEN 1 + strlen(coalesce(text, '')) "
+    "ELSE strlen(coalesce(text, '')) END::BIGINT AS length FROM documents WHERE doc_id % 25 <> 5",
+)
 def scanned_files(spark, sf):
-    found = S.scan_files(spark, document_files(spark, sf), [" TXT", ""])
+    found = S.list_files(spark, mixed_files(spark, sf), [" TXT", ""], hidden=True)
     return found.select(doc_of("path"), "length")
 
 
@@ -793,10 +827,17 @@ def decoded_texts(spark, sf):
     return decoded.select("doc_id", "d.text")
 
 
-@register("admitted_files", "SELECT doc_id, text || chr(10) AS text, NULL::VARCHAR AS note FROM documents")
+@register(
+    "admitted_files",
+    f"WITH f AS (SELECT doc_id, doc_id % 25 AS kind, CASE doc_id % 25 WHEN 2 THEN '' WHEN 3 THEN '{_CP949}' || doc_id ELSE coalesce(text, '') END AS t "
+    "FROM documents WHERE doc_id % 25 <> 5), n AS (SELECT doc_id, t, CASE WHEN kind = 4 THEN 'decode failed: ''cp949'' codec can''t decode byte 0xff in "
+    "position 0: illegal multibyte sequence' WHEN trim(t, ' \t\n\r') = '' THEN 'empty file' END AS note FROM f) "
+    "SELECT doc_id, CASE WHEN note IS NULL THEN t ELSE '' END AS text, note FROM n",
+)
 def admitted_files(spark, sf):
-    files = S.scan_files(spark, document_files(spark, sf))
-    return S.admit_files(files).select(doc_of("path"), "text", "note")
+    """Every kind of file is reported: with its text, or with why it has none."""
+    files = S.scan_files(spark, mixed_files(spark, sf), hidden=True)
+    return S.admit_files(files, include_empty=False).select(doc_of("path"), "text", "note")
 
 
 @register("json_sink", "SELECT doc_id, lang, text FROM documents")
