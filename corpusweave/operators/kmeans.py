@@ -23,6 +23,8 @@ from corpusweave.operators.joins import join_per_key
 
 # A key with more numbers than this (64 MB of doubles) is clustered by joins, not in one task.
 MAX_GROUP_VALUES = 8_000_000
+# Differences between vectors and centroids held at a time within a task.
+MAX_GAP_VALUES = 1_000_000
 
 
 def cluster_count(n: Column, max_clusters: int = params.MAX_CLUSTERS) -> Column:
@@ -230,7 +232,7 @@ def _group_runner(
             raise ValueError(f"{vector} is null in some rows")
         values = {k: rows[k].slice(0, 1) for k in keys}
         for name in lists:
-            values[name] = pa.array([rows[name].to_pylist()], type=pa.list_(rows[name].type))
+            values[name] = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows[name].combine_chunks())
         values["cluster_id"] = pa.array([clusters], type=pa.list_(pa.int32()))
         values["distance"] = pa.array([distances], type=pa.list_(pa.float64()))
         return pa.table(values)
@@ -240,30 +242,35 @@ def _group_runner(
 
 def _distances(points: np.ndarray, centroids: np.ndarray, digits: int | None) -> np.ndarray:
     """Squared distances, summed element by element in order so that ties fall as they would in a
-    plain loop; numpy's own sum pairs terms up and differs in the last bits."""
-    total = np.zeros((len(points), len(centroids)))
-    for column, centre in zip(points.T, centroids.T):
-        gap = column[:, None] - centre[None, :]
-        total += gap * gap
+    plain loop; numpy's own sum along rows pairs terms up and differs in the last bits."""
+    total = np.empty((len(points), len(centroids)))
+    step = max(1, MAX_GAP_VALUES // max(1, centroids.size))
+    for lo in range(0, len(points), step):
+        gap = points[lo : lo + step].T[:, :, None] - centroids.T[:, None, :]
+        gap *= gap
+        # Along the first axis whole slices are added one after the other.
+        np.add.reduce(gap, axis=0, out=total[lo : lo + step])
     return total if digits is None else np.round(total, digits)
 
 
 def _lloyd(
     points: np.ndarray, max_clusters: int, rounds: int, digits: int | None
 ) -> tuple[np.ndarray, np.ndarray]:
-    n = len(points)
+    n, dim = points.shape
     k = min(max_clusters, max(1, int(np.ceil(np.sqrt(n)))), n)
-    centroids = points[:k].copy()
+    first = points[:k].copy()
+    centroids = first
     clusters = np.zeros(n, dtype=np.int32)
     for _ in range(rounds):
         chosen = _distances(points, centroids, digits).argmin(axis=1).astype(np.int32)
         if (chosen == clusters).all():
             break
         clusters = chosen
-        for c in range(k):
-            members = points[clusters == c]
-            # Adding whole rows in order: again the order of a plain loop.
-            centroids[c] = np.add.reduce(members, axis=0) / len(members) if len(members) else points[c]
+        # Weights are added in the order of the rows: again the order of a plain loop.
+        at = (clusters[:, None].astype(np.int64) * dim + np.arange(dim)).ravel()
+        sums = np.bincount(at, points.ravel(), k * dim).reshape(k, dim)
+        members = np.bincount(clusters, minlength=k)[:, None]
+        centroids = np.where(members > 0, sums / np.maximum(members, 1), first)
     return clusters, _distances(points, centroids, digits)[np.arange(n), clusters]
 
 

@@ -1,7 +1,12 @@
+import hashlib
+import re
+
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from corpusweave.functions import embedding
 from corpusweave.functions import vectors as VF
 from corpusweave.functions.embedding import WrongCount, _tried, hashed_words, model_embedder
 from corpusweave.operators import vectors as V
@@ -103,3 +108,23 @@ def test_a_failing_text_costs_few_calls():
     assert len(calls) == 1 + 2 * 6
     with pytest.raises(WrongCount):
         _tried(lambda texts: [[1.0]], ["a", "b"])
+
+
+def test_hashed_words_count_each_distinct_word_once_a_batch(spark, monkeypatch):
+    texts = [None, "b a_1 B! ÉCOLE école", " ", "!", "a_1 " * 500, "b"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    found = V.embed_column(rows, hashed_words(8)).orderBy("i").collect()
+    for text, row in zip(texts, found):
+        words = re.findall(r"\w+", (text or "").lower())
+        counts = [0.0] * 8
+        for word in words:
+            counts[int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % 8] += 1
+        norm = sum(c * c for c in counts) ** 0.5
+        expected = None if not (text or "").strip() else [c / norm if norm else 0.0 for c in counts]
+        assert row["embedding"] == (expected if expected is None else pytest.approx(expected, abs=1e-12))
+    hashed = []
+    real = embedding.hashlib.md5
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda data: hashed.append(data) or real(data))
+    counts = embedding._bucket_counts(4).func(pa.array([["x"] * 9, None, ["y", "x"], []]))
+    assert counts.null_count == 1 and sum(counts[0].as_py()) == 9 and sum(counts[2].as_py()) == 2 and sum(counts[3].as_py()) == 0
+    assert sorted(hashed) == [b"x", b"y"]
