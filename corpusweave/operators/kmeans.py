@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as St
@@ -25,6 +26,8 @@ from corpusweave.operators.joins import join_per_key
 MAX_GROUP_VALUES = 8_000_000
 # Differences between vectors and centroids held at a time within a task.
 MAX_GAP_VALUES = 1_000_000
+# Numbers of the vectors that a round of joins holds in one row.
+PACKED_VALUES = 32_768
 
 
 def cluster_count(n: Column, max_clusters: int = params.MAX_CLUSTERS) -> Column:
@@ -288,8 +291,9 @@ def kmeans_by_joins(
     """K-means as joins and aggregations, for keys of any size.
 
     The loop carries centroids only: one row per key with the centroids of this round and of the
-    round before; the vectors are written once. Assignments are recomputed from them, so a vector is never shuffled with its
-    state, a round shuffles partial sums only, and a key may be spread over all tasks.
+    round before; the vectors are written once, many of a key to a row of bounded size. Assignments are recomputed from
+    them, so a vector is never shuffled with its state, a round shuffles one partial sum per such row and cluster, and a
+    key may be spread over all tasks.
     """
     params.positive_int("max_clusters", max_clusters)
     keys = list(keys)
@@ -306,13 +310,14 @@ def kmeans_by_joins(
             *keys, "start", F.col("start").alias("now"), none.alias("before"), F.lit(False).alias("done")
         )
     )
+    packed = _packed(rows, keys, index, vector)
     for _ in range(rounds):
         active = state.filter(~F.col("done"))
         if active.isEmpty():
             break
         state = cut(
             state.filter("done").unionByName(
-                _next_centroids(rows, active, keys, index, vector, tie_digits)
+                _next_centroids(packed, active, keys, tie_digits)
             )
         )
     # A finished key keeps the centroids its last assignment was made from. A key that ran out of
@@ -341,32 +346,72 @@ def _with_state(
     return join_per_key(rows, state, keys, spread_by=index, row_bytes=8 * numbers)
 
 
-def _next_centroids(
-    rows: DataFrame,
-    active: DataFrame,
-    keys: list[str],
-    index: str,
-    vector: str,
-    tie_digits: int | None,
-) -> DataFrame:
-    joined = _with_state(rows, active, keys, index)
-    placed = joined.select(
-        *keys,
-        vector,
-        nearest(F.col(vector), F.col("now"), tie_digits)["cluster_id"].alias("cluster_id"),
-        F.when(F.col("before").isNull(), 0)
-        .otherwise(nearest(F.col(vector), F.col("before"), tie_digits)["cluster_id"])
-        .alias("_was"),
+def _packed(rows: DataFrame, keys: list[str], index: str, vector: str) -> DataFrame:
+    """``keys, _part, _vectors``: the vectors of a key in parts of about ``PACKED_VALUES`` numbers."""
+    parts = rows.groupBy(*keys).agg(F.ceil(F.sum(F.size(vector)) / PACKED_VALUES).cast("int").alias("_parts"))
+    counted = join_per_key(rows, parts, keys, spread_by=index, row_bytes=F.lit(64))
+    part = F.pmod(F.xxhash64(index), F.greatest("_parts", F.lit(1))).cast("int")
+    return cut(
+        counted.select(*keys, part.alias("_part"), vector)
+        .groupBy(*keys, "_part")
+        .agg(F.collect_list(vector).alias("_vectors"))
+        .filter(F.size("_vectors") > 0)
+    )
+
+
+def _partial_sums(keys: list[str], tie_digits: int | None) -> Callable:
+    """Per row of vectors and cluster: the sum, the count, and whether a vector came from another cluster."""
+
+    def matrix(lists: pa.ListScalar) -> np.ndarray:
+        inner = lists.values
+        sizes = set(pc.list_value_length(inner).to_pylist())
+        if len(sizes) != 1:
+            raise ValueError("vectors differ in length")
+        return inner.flatten().to_numpy(zero_copy_only=False).reshape(len(inner), sizes.pop())
+
+    def chosen(points: np.ndarray, lists: pa.ListScalar) -> np.ndarray:
+        centroids = matrix(lists)
+        if centroids.shape[1] != points.shape[1]:
+            raise ValueError("vectors differ in length")
+        distance = _distances(points, centroids, tie_digits)
+        return np.where(np.isnan(distance), np.inf, distance).argmin(axis=1)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                points = matrix(batch.column("_vectors")[at])
+                now = chosen(points, batch.column("now")[at])
+                was = chosen(points, batch.column("before")[at]) if batch.column("before")[at].is_valid else np.zeros_like(now)
+                clusters, place = np.unique(now, return_inverse=True)
+                dim = points.shape[1]
+                spots = (place[:, None] * dim + np.arange(dim)).ravel()
+                sums = np.bincount(spots, points.ravel(), len(clusters) * dim).reshape(len(clusters), dim)
+                values = {k: pa.array([batch.column(k)[at].as_py()] * len(clusters), batch.column(k).type) for k in keys}
+                values["cluster_id"] = pa.array(clusters, pa.int32())
+                values["_sum"] = pa.array(list(sums), pa.list_(pa.float64()))
+                values["_n"] = pa.array(np.bincount(place, minlength=len(clusters)), pa.int64())
+                values["_moved"] = pa.array(np.bincount(place, now != was, len(clusters)) > 0).cast(pa.int32())
+                yield pa.RecordBatch.from_pydict(values)
+
+    return run
+
+
+def _next_centroids(packed: DataFrame, active: DataFrame, keys: list[str], tie_digits: int | None) -> DataFrame:
+    joined = _with_state(packed, active, keys, "_part").select(*keys, "_vectors", "now", "before")
+    schema = St.StructType(
+        [joined.schema[k] for k in keys]
+        + [
+            St.StructField("cluster_id", St.IntegerType()),
+            St.StructField("_sum", St.ArrayType(St.DoubleType())),
+            St.StructField("_n", St.LongType()),
+            St.StructField("_moved", St.IntegerType()),
+        ]
     )
     sums = (
-        placed.select(
-            *keys,
-            "cluster_id",
-            (F.col("cluster_id") != F.col("_was")).cast("int").alias("_moved"),
-            F.posexplode(vector).alias("_i", "_x"),
-        )
+        joined.mapInArrow(_partial_sums(keys, tie_digits), schema)
+        .select(*keys, "cluster_id", "_n", "_moved", F.posexplode("_sum").alias("_i", "_x"))
         .groupBy(*keys, "cluster_id", "_i")
-        .agg(F.avg("_x").alias("_x"), F.max("_moved").alias("_moved"))
+        .agg((F.sum("_x") / F.sum("_n")).alias("_x"), F.max("_moved").alias("_moved"))
     )
     means = sums.groupBy(*keys, "cluster_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda e: e["_x"]).alias("_mean"),

@@ -96,3 +96,19 @@ def test_paths_and_counts(spark):
 def test_parameters_are_checked(bad):
     with pytest.raises(ValueError):
         K.cluster_count(F.col("n"), bad)
+
+
+def test_joins_read_many_vectors_to_a_row(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = {d: [[rng.randint(0, 9) / 8, rng.randint(0, 9) / 8] for _ in range(n)] for d, n in ((1, 50), (2, 7))}
+    monkeypatch.setattr(K, "PACKED_VALUES", 30)
+    packed = K._packed(table(spark, docs), ["doc_id"], "chunk_index", "embedding")
+    counts = {(r["doc_id"], r["_part"]): len(r["_vectors"]) for r in packed.collect()}
+    assert sum(counts.values()) == 57 and 1 < sum(d == 1 for d, _ in counts) <= 4 and counts[2, 0] == 7
+    found = runs(K.kmeans_by_joins(table(spark, docs), ["doc_id"]))
+    for doc, vectors in docs.items():
+        where, gaps = lloyd(vectors, 12)
+        assert found[doc][0] == where and found[doc][1] == pytest.approx(gaps, abs=1e-12)
+    # A vector without a value moves no centroid.
+    with_null = table(spark, {1: docs[1]}).unionByName(spark.createDataFrame([(1, 50, None)], SCHEMA))
+    assert runs(K.kmeans_by_joins(with_null, ["doc_id"]))[1][0][:50] == lloyd(docs[1], 12)[0]
