@@ -362,34 +362,47 @@ def _packed(rows: DataFrame, keys: list[str], index: str, vector: str) -> DataFr
 def _partial_sums(keys: list[str], tie_digits: int | None) -> Callable:
     """Per row of vectors and cluster: the sum, the count, and whether a vector came from another cluster."""
 
-    def matrix(lists: pa.ListScalar) -> np.ndarray:
-        inner = lists.values
-        sizes = set(pc.list_value_length(inner).to_pylist())
-        if len(sizes) != 1:
+    def matrix(lists: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors, and which of their numbers are null."""
+        known = lists.values.drop_null()
+        sizes = set(pc.list_value_length(known).to_pylist())
+        if len(sizes) > 1:
             raise ValueError("vectors differ in length")
-        return inner.flatten().to_numpy(zero_copy_only=False).reshape(len(inner), sizes.pop())
-
-    def chosen(points: np.ndarray, lists: pa.ListScalar) -> np.ndarray:
-        centroids = matrix(lists)
-        if centroids.shape[1] != points.shape[1]:
-            raise ValueError("vectors differ in length")
-        distance = _distances(points, centroids, tie_digits)
-        return np.where(np.isnan(distance), np.inf, distance).argmin(axis=1)
+        there, shape = lists.values.is_valid().to_numpy(zero_copy_only=False), (len(known), sizes.pop() if sizes else 0)
+        values, missing = np.full((len(there), shape[1]), np.nan), np.ones((len(there), shape[1]), dtype=bool)
+        values[there] = known.flatten().to_numpy(zero_copy_only=False).reshape(shape)
+        missing[there] = known.flatten().is_null().to_numpy(zero_copy_only=False).reshape(shape)
+        return values, missing
+
+    def chosen(points: np.ndarray, holed: np.ndarray, lists: pa.ListScalar) -> np.ndarray:
+        centroids, missing = matrix(lists)
+        # As in an expression, a null distance comes before all others and NaN after them.
+        null = missing.any(axis=1) | (centroids.shape[1] == 0)
+        distance = np.full((len(points), len(centroids)), -np.inf)
+        if not null.all():
+            if centroids.shape[1] != points.shape[1]:
+                raise ValueError("vectors differ in length")
+            measured = _distances(points, centroids[~null], tie_digits)
+            distance[:, ~null] = np.where(np.isnan(measured), np.inf, measured)
+            distance[holed] = -np.inf
+        return distance.argmin(axis=1)
 
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
-                points = matrix(batch.column("_vectors")[at])
-                now = chosen(points, batch.column("now")[at])
-                was = chosen(points, batch.column("before")[at]) if batch.column("before")[at].is_valid else np.zeros_like(now)
+                points, missing = matrix(batch.column("_vectors")[at])
+                holed = missing.any(axis=1)
+                now = chosen(points, holed, batch.column("now")[at])
+                was = chosen(points, holed, batch.column("before")[at]) if batch.column("before")[at].is_valid else np.zeros_like(now)
                 clusters, place = np.unique(now, return_inverse=True)
                 dim = points.shape[1]
                 spots = (place[:, None] * dim + np.arange(dim)).ravel()
-                sums = np.bincount(spots, points.ravel(), len(clusters) * dim).reshape(len(clusters), dim)
+                sums = np.bincount(spots, np.where(missing, 0.0, points).ravel(), len(clusters) * dim).reshape(-1, dim)
+                counts = np.bincount(spots, ~missing.ravel(), len(clusters) * dim).astype(np.int64).reshape(-1, dim)
                 values = {k: pa.array([batch.column(k)[at].as_py()] * len(clusters), batch.column(k).type) for k in keys}
                 values["cluster_id"] = pa.array(clusters, pa.int32())
                 values["_sum"] = pa.array(list(sums), pa.list_(pa.float64()))
-                values["_n"] = pa.array(np.bincount(place, minlength=len(clusters)), pa.int64())
+                values["_n"] = pa.array(list(counts), pa.list_(pa.int64()))
                 values["_moved"] = pa.array(np.bincount(place, now != was, len(clusters)) > 0).cast(pa.int32())
                 yield pa.RecordBatch.from_pydict(values)
 
@@ -403,15 +416,15 @@ def _next_centroids(packed: DataFrame, active: DataFrame, keys: list[str], tie_d
         + [
             St.StructField("cluster_id", St.IntegerType()),
             St.StructField("_sum", St.ArrayType(St.DoubleType())),
-            St.StructField("_n", St.LongType()),
+            St.StructField("_n", St.ArrayType(St.LongType())),
             St.StructField("_moved", St.IntegerType()),
         ]
     )
     sums = (
         joined.mapInArrow(_partial_sums(keys, tie_digits), schema)
-        .select(*keys, "cluster_id", "_n", "_moved", F.posexplode("_sum").alias("_i", "_x"))
+        .select(*keys, "cluster_id", "_moved", F.posexplode(F.arrays_zip("_sum", "_n")).alias("_i", "_x"))
         .groupBy(*keys, "cluster_id", "_i")
-        .agg((F.sum("_x") / F.sum("_n")).alias("_x"), F.max("_moved").alias("_moved"))
+        .agg(F.try_divide(F.sum("_x._sum"), F.sum("_x._n")).alias("_x"), F.max("_moved").alias("_moved"))
     )
     means = sums.groupBy(*keys, "cluster_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda e: e["_x"]).alias("_mean"),

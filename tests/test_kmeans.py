@@ -112,3 +112,14 @@ def test_joins_read_many_vectors_to_a_row(spark, monkeypatch):
     # A vector without a value moves no centroid.
     with_null = table(spark, {1: docs[1]}).unionByName(spark.createDataFrame([(1, 50, None)], SCHEMA))
     assert runs(K.kmeans_by_joins(with_null, ["doc_id"]))[1][0][:50] == lloyd(docs[1], 12)[0]
+
+
+def test_joins_take_null_centroids_and_numbers_as_expressions_do(spark):
+    """A null distance comes first, so the first null centroid draws every vector; a null number counts in no mean."""
+    rows = [(1, 0, [0.0, 0.0]), (1, 1, None), (1, 2, [4.0, 2.0]), (1, 3, [8.0, None]), (1, 4, [6.0, 4.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    # After one round cluster 1 lies at the mean (10 / 3, 2) of the whole vectors that it drew.
+    where, gaps = runs(K.kmeans_by_joins(df, ["doc_id"], rounds=1))[1]
+    assert where == [1, 0, 1, 0, 1] and gaps == [pytest.approx(136 / 9), None, pytest.approx(4 / 9), None, pytest.approx(100 / 9)]
+    where, gaps = runs(K.kmeans_by_joins(df, ["doc_id"]))[1]
+    assert where == [0] * 5 and gaps == [24.25, None, 0.25, None, 6.25]
