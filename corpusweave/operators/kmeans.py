@@ -28,6 +28,10 @@ MAX_GROUP_VALUES = 8_000_000
 MAX_GAP_VALUES = 1_000_000
 # Numbers of the vectors that a round of joins holds in one row.
 PACKED_VALUES = 32_768
+# Keys that Arrow tells apart as Spark does.
+PLAIN_KEYS = frozenset(
+    "boolean tinyint smallint int bigint string binary date timestamp timestamp_ntz".split()
+)
 
 
 def cluster_count(n: Column, max_clusters: int = params.MAX_CLUSTERS) -> Column:
@@ -204,41 +208,93 @@ def kmeans_in_groups(
             St.StructField("distance", St.ArrayType(St.DoubleType())),
         ]
     )
-    run = _group_runner(
-        keys, index, vector, lists, max_clusters, rounds, tie_digits, allow_null_vectors
+    run = _groups_runner(
+        keys, vector, lists, max_clusters, rounds, tie_digits, allow_null_vectors
     )
     rows = df.select(*keys, *lists, as_doubles(F.col(vector)).alias(vector))
-    return rows.groupBy(*keys).applyInArrow(run, output)
+    if keys and all(types[k].dataType.simpleString() in PLAIN_KEYS for k in keys):
+        # Many small keys share a batch: a call for each would cost more than its clusters.
+        in_order = rows.repartition(*keys).sortWithinPartitions(*keys, F.col(index).asc_nulls_last())
+        return in_order.mapInArrow(_over_batches(run, keys), output)
 
+    def one_group(group: pa.Table) -> pa.Table:
+        rows = group.sort_by(index).combine_chunks()
+        return pa.Table.from_batches([run(rows.to_batches()[0], np.array([0, len(rows)]))])
+
+    return rows.groupBy(*keys).applyInArrow(one_group, output)
+
+
+def _key_changes(batch: pa.RecordBatch, keys: list[str], last: pa.RecordBatch | None) -> np.ndarray:
+    """Positions of the rows whose key is not that of the row before; ``last`` is the row before the first."""
+    changed = np.zeros(batch.num_rows, dtype=bool)
+    for key in keys:
+        column = batch.column(key)
+        first = column.slice(0, 1) if last is None else last.column(key)
+        before = pa.concat_arrays([first, column.slice(0, len(column) - 1)])
+        changed |= pc.fill_null(pc.not_equal(column, before), False).to_numpy(zero_copy_only=False)
+        changed |= pc.xor(column.is_null(), before.is_null()).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(changed)
+
+
+def _over_batches(run: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], keys: list[str]) -> Callable:
+    """Hand whole keys to ``run``, from rows in the order of their keys; the last key of a batch waits for the next."""
 
-def _group_runner(
+    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return run(rows, np.r_[0, _key_changes(rows, keys, None), rows.num_rows])
+
+    def over(batches):
+        open_: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            changes = _key_changes(batch, keys, open_[-1].slice(open_[-1].num_rows - 1) if open_ else None)
+            if len(changes):
+                yield whole([*open_, batch.slice(0, changes[-1])])
+                open_ = [batch.slice(changes[-1])]
+            else:
+                open_.append(batch)
+        if open_:
+            yield whole(open_)
+
+    return over
+
+
+def _groups_runner(
     keys: list[str],
-    index: str,
     vector: str,
     lists: list[str],
     max_clusters: int,
     rounds: int,
     tie_digits: int | None,
     allow_null_vectors: bool,
-) -> Callable[[pa.Table], pa.Table]:
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.sort_by(index).combine_chunks()
-        column = rows[vector].combine_chunks()
-        clusters = distances = None
-        if not column.null_count:
-            sizes = set(np.diff(column.offsets.to_numpy()).tolist())
-            if len(sizes) != 1:
+) -> Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]:
+    """Clusters of the keys between the ``bounds`` of a batch, one row per key."""
+
+    def run(rows: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
+        column = rows.column(vector)
+        offsets, missing = column.offsets.to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
+        sizes, numbers = np.diff(offsets), column.values
+        clusters, distances, without = [np.zeros(0, np.int32)], [np.zeros(0)], np.zeros(len(bounds) - 1, dtype=bool)
+        for at, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            if missing[lo:hi].any():
+                if not allow_null_vectors:
+                    raise ValueError(f"{vector} is null in some rows")
+                without[at] = True
+                continue
+            if (sizes[lo:hi] != sizes[lo]).any():
                 raise ValueError("vectors differ in length")
-            points = column.flatten().to_numpy().reshape(len(rows), sizes.pop())
-            clusters, distances = _lloyd(points, max_clusters, rounds, tie_digits)
-        elif not allow_null_vectors:
-            raise ValueError(f"{vector} is null in some rows")
-        values = {k: rows[k].slice(0, 1) for k in keys}
+            points = numbers.slice(offsets[lo], offsets[hi] - offsets[lo]).to_numpy().reshape(hi - lo, sizes[lo])
+            found = _lloyd(points, max_clusters, rounds, tie_digits)
+            clusters.append(found[0])
+            distances.append(found[1])
+        values = {k: rows.column(k).take(pa.array(bounds[:-1])) for k in keys}
         for name in lists:
-            values[name] = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows[name].combine_chunks())
-        values["cluster_id"] = pa.array([clusters], type=pa.list_(pa.int32()))
-        values["distance"] = pa.array([distances], type=pa.list_(pa.float64()))
-        return pa.table(values)
+            values[name] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows.column(name))
+        ends = pa.array(np.r_[0, np.cumsum(np.where(without, 0, np.diff(bounds)))], pa.int32())
+        for name, parts, kind in (("cluster_id", clusters, pa.int32()), ("distance", distances, pa.float64())):
+            values[name] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts), kind), mask=pa.array(without))
+        return pa.RecordBatch.from_pydict(values)
 
     return run
 

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -123,3 +124,45 @@ def test_joins_take_null_centroids_and_numbers_as_expressions_do(spark):
     assert where == [1, 0, 1, 0, 1] and gaps == [pytest.approx(136 / 9), None, pytest.approx(4 / 9), None, pytest.approx(100 / 9)]
     where, gaps = runs(K.kmeans_by_joins(df, ["doc_id"]))[1]
     assert where == [0] * 5 and gaps == [24.25, None, 0.25, None, 6.25]
+
+
+def test_small_keys_share_a_batch_and_large_ones_span_several(spark, monkeypatch):
+    rng = random.Random(9)
+    sizes = {None: 4, "a": 1, "b": 33, "": 2, "ä": 7}
+    docs = {d: [[rng.randint(0, 9) / 8, rng.randint(0, 9) / 8] for _ in range(n)] for d, n in sizes.items()}
+    rows = [(d, i if i or d else None, v) for d, vs in docs.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "doc_id string, chunk_index int, embedding array<double>").repartition(3)
+    found = K.kmeans_in_groups(df, ["doc_id"])
+    # One call of Python for a key was dear where there are many keys.
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        split = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, split)) == sorted(map(str, found.collect())) and len(split) == 5
+    for row in split:
+        vectors = docs[row["doc_id"]]
+        if not row["doc_id"]:
+            vectors = vectors[1:] + vectors[:1]  # a row without an index comes last
+        where, gaps = lloyd(vectors, 12)
+        assert row["cluster_id"] == where and row["distance"] == pytest.approx(gaps, abs=1e-12)
+    calls = []
+    runner = K._groups_runner(["doc_id"], "embedding", ["chunk_index"], 12, 50, None, False)
+    batch = pa.RecordBatch.from_pylist(
+        [{"doc_id": d, "chunk_index": 0, "embedding": [1.0]} for d in range(40)],
+        schema=pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("embedding", pa.list_(pa.float64()))]),
+    )
+    out = list(K._over_batches(lambda *a: calls.append(a) or runner(*a), ["doc_id"])([batch]))
+    assert len(calls) == 2 and sum(b.num_rows for b in out) == 40
+
+
+def test_keys_of_other_types_keep_their_own_calls(spark):
+    nan = float("nan")
+    rows = [(nan, i, [float(i)]) for i in range(5)] + [(0.0, 0, [1.0]), (-0.0, 1, [2.0])]
+    df = spark.createDataFrame(rows, "doc_id double, chunk_index int, embedding array<double>")
+    assert sorted(len(r["cluster_id"]) for r in K.kmeans_in_groups(df, ["doc_id"]).collect()) == [2, 5]
+    nulls = spark.createDataFrame([(1, 0, [1.0]), (1, 1, None), (2, 0, [3.0])], SCHEMA)
+    found = {r["doc_id"]: r for r in K.kmeans_in_groups(nulls, ["doc_id"], allow_null_vectors=True).collect()}
+    assert found[1]["cluster_id"] is None and found[1]["distance"] is None and found[1]["chunk_index"] == [0, 1]
+    assert found[2]["cluster_id"] == [0] and found[2]["distance"] == [0.0]
