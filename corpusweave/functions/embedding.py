@@ -21,12 +21,16 @@ from pyspark.sql import types as St
 
 from corpusweave import params
 from corpusweave.functions import text as T
-from corpusweave.functions.vectors import l2_normalize
+from corpusweave.functions.text import let
+from corpusweave.functions.vectors import NORM_FLOOR
 
 _ATTEMPT = St.StructType(
     [St.StructField("vector", St.ArrayType(St.FloatType())), St.StructField("error", St.StringType())]
 )
 
+#: Characters beyond those that every version of Unicode sorts alike: Latin and general punctuation.
+RARE = r"[^\x00-\u024f\u2010-\u2027\u20ac]"
+
 PredictFn = Callable[[list[str]], Sequence[Sequence[float] | None]]
 
 
@@ -106,28 +110,72 @@ def hashed_words(dim: int = 64) -> Embedder:
     params.positive_int("dim", dim)
 
     def embed(column: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(column), F.lit(T.WORD), 0)
-        return F.when(column.isNotNull() & ~T.is_blank(column), l2_normalize(_bucket_counts(dim)(words)))
+        return F.when(column.isNotNull() & ~T.is_blank(column), _unit_counts(dim)(_plain_or_words(F.lower(column))))
 
     return Embedder(f"hashed-words-{dim}", embed, total=True)
 
 
-def _bucket_counts(dim: int):
+def _plain_or_words(lowered: Column) -> Column:
+    """A struct of the ``text``, or where it has rare characters of its ``words``.
+
+    Cutting out words is dear in Spark's expressions. Tasks do it, but for characters of which two versions of
+    Unicode may think differently.
+    """
+    no_words, no_text = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+    return let(
+        lowered,
+        lambda t: F.when(
+            t.rlike(RARE),
+            F.struct(no_text.alias("text"), F.regexp_extract_all(t, F.lit(T.WORD), 0).alias("words")),
+        ).otherwise(F.struct(t.alias("text"), no_words.alias("words"))),
+    )
+
+
+def _tally(dim: int) -> Callable[[pa.Array], np.ndarray]:
     """Counts of the words of a row by bucket; a batch hashes each of its distinct words once."""
 
     def bucket(word: str) -> int:
         return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:7], 16) % dim
 
-    def counts(words: pa.Array) -> pa.Array:
+    def counts(words: pa.Array) -> np.ndarray:
         rows = len(words)
         coded = words.flatten().dictionary_encode()
-        buckets = np.array([bucket(w) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+        # Before a first and after a last gap is an empty word, which does not count.
+        buckets = np.array([bucket(w) if w else dim for w in coded.dictionary.to_pylist()], dtype=np.int64)
         per_row = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-        at = np.repeat(np.arange(rows) * dim, per_row)
+        at = np.repeat(np.arange(rows) * (dim + 1), per_row)
         if len(at):
             at += buckets[coded.indices.to_numpy(zero_copy_only=False)]
-        found = np.bincount(at, minlength=rows * dim).astype(float)
-        offsets = pa.array(np.arange(rows + 1) * dim, pa.int32())
-        return pa.ListArray.from_arrays(offsets, pa.array(found), mask=words.is_null() if words.null_count else None)
+        return np.bincount(at, minlength=rows * (dim + 1)).reshape(rows, dim + 1)[:, :dim].astype(float)
+
+    return counts
+
+
+def _vectors(values: np.ndarray, none: pa.Array) -> pa.Array:
+    offsets = pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()), mask=none if len(none) else None)
+
+
+def _bucket_counts(dim: int):
+    tally = _tally(dim)
+
+    def counts(words: pa.Array) -> pa.Array:
+        return _vectors(tally(words), words.is_null())
 
     return F.arrow_udf(counts, "array<double>")
+
+
+def _unit_counts(dim: int):
+    """The counts at unit length, of the words of a ``text`` or of ``words``."""
+    tally = _tally(dim)
+
+    def unit_counts(parts: pa.Array) -> pa.Array:
+        texts, words = parts.flatten()
+        found = tally(pc.split_pattern_regex(texts, T.WORD.replace("[", "[^")))
+        if words.null_count < len(words):
+            found += tally(words)
+        # Sums of squared counts are whole numbers, the same in any order.
+        found /= np.maximum(np.sqrt((found * found).sum(axis=1)), NORM_FLOOR)[:, None]
+        return _vectors(found, pc.and_(texts.is_null(), words.is_null()))
+
+    return F.arrow_udf(unit_counts, "array<double>")
