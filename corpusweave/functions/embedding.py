@@ -21,7 +21,7 @@ from pyspark.sql import types as St
 
 from corpusweave import params
 from corpusweave.functions import text as T
-from corpusweave.functions.vectors import l2_normalize
+from corpusweave.functions.vectors import NORM_FLOOR
 
 _ATTEMPT = St.StructType(
     [St.StructField("vector", St.ArrayType(St.FloatType())), St.StructField("error", St.StringType())]
@@ -107,13 +107,13 @@ def hashed_words(dim: int = 64) -> Embedder:
 
     def embed(column: Column) -> Column:
         words = F.regexp_extract_all(F.lower(column), F.lit(T.WORD), 0)
-        return F.when(column.isNotNull() & ~T.is_blank(column), l2_normalize(_bucket_counts(dim)(words)))
+        return F.when(column.isNotNull() & ~T.is_blank(column), _bucket_counts(dim, unit=True)(words))
 
     return Embedder(f"hashed-words-{dim}", embed, total=True)
 
 
-def _bucket_counts(dim: int):
-    """Counts of the words of a row by bucket; a batch hashes each of its distinct words once."""
+def _bucket_counts(dim: int, unit: bool = False):
+    """Counts of the words of a row by bucket, or with ``unit`` at unit length; a batch hashes each of its distinct words once."""
 
     def bucket(word: str) -> int:
         return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:7], 16) % dim
@@ -127,6 +127,10 @@ def _bucket_counts(dim: int):
         if len(at):
             at += buckets[coded.indices.to_numpy(zero_copy_only=False)]
         found = np.bincount(at, minlength=rows * dim).astype(float)
+        if unit:
+            # Sums of squares of whole numbers are exact, so these are the vectors that l2_normalize gives.
+            by_row = found.reshape(rows, dim)
+            by_row /= np.maximum(np.sqrt((by_row * by_row).sum(axis=1)), NORM_FLOOR)[:, None]
         offsets = pa.array(np.arange(rows + 1) * dim, pa.int32())
         return pa.ListArray.from_arrays(offsets, pa.array(found), mask=words.is_null() if words.null_count else None)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions.text import let
 
-_NORM_FLOOR = 1e-12
+NORM_FLOOR = 1e-12
 
 
 def as_doubles(vector: Column) -> Column:
@@ -37,7 +37,7 @@ def l2_normalize(vector: Column) -> Column:
     return let(
         vector,
         lambda v: let(
-            F.greatest(l2_norm(v), F.lit(_NORM_FLOOR)),
+            F.greatest(l2_norm(v), F.lit(NORM_FLOOR)),
             lambda norm: F.transform(as_doubles(v), lambda x: x / norm),
         ),
     )

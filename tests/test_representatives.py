@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusweave import params
 from corpusweave.functions import blocks as B
+from corpusweave.operators import joins as J
 from corpusweave.operators import representatives as R
 from tests.naive import unique_by_greed
 
@@ -16,6 +17,42 @@ def test_weak_clusters_are_dropped(spark):
     assert R.drop_small_clusters(rows, ["doc_id"], 1).count() == 2
 
 
+def _rows_out(df):
+    """Rows that the operators of a plan gave out, by operator."""
+    df.collect()
+    found, todo = {}, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        if node.metrics().contains("numOutputRows"):
+            found.setdefault(node.nodeName(), []).append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_sizes_too_large_to_broadcast_are_not_copied(spark, monkeypatch):
+    monkeypatch.setattr(J, "MAX_BROADCAST_BYTES", 0)
+    rows = spark.range(3000).selectExpr("id % 500 AS doc_id", "int(id % 2) AS cluster_id", "int(id) AS chunk_index")
+    kept = R.drop_small_clusters(rows, ["doc_id"], 2)
+    assert max(max(counts) for counts in _rows_out(kept).values()) == 3000
+    assert kept.count() == 3000 and kept.filter("cluster_size <> 6").isEmpty()
+
+
+def test_only_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(J, "MAX_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(J, "HOT_ROWS", 100)
+    rows = spark.range(1000).selectExpr("if(id < 600, 7, if(id < 900, null, id)) AS k", "id").cache()
+    per_key = spark.createDataFrame([(7, "a"), (950, "b"), (2000, "c"), (None, "d")], "k long, v string")
+    joined = {how: J.join_per_key(rows, per_key, ["k"], spread_by="id", row_bytes=F.lit(8), how=how) for how in ("inner", "left")}
+    for how, found in joined.items():
+        assert found.columns == ["k", "id", "v"]
+        assert sorted(map(str, found.collect())) == sorted(map(str, rows.join(per_key, "k", how).collect()))
+        assert max(_rows_out(found)["Generate"]) == J.SALTS + 2
+
+
 def test_ratio_works_on_squared_distances(spark):
     rows = spark.createDataFrame([(1, 0, 0, "p", 0.16), (1, 0, 1, "q", 0.09), (1, 0, 2, "r", 0.1)], SCHEMA)
     kept = R.within_ratio(R.top_members(rows, ["doc_id"]), ["doc_id"], 1.2)

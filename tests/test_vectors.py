@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpusweave.functions import embedding
+from corpusweave.functions import text as T
 from corpusweave.functions import vectors as VF
 from corpusweave.functions.embedding import WrongCount, _tried, hashed_words, model_embedder
 from corpusweave.operators import vectors as V
@@ -50,6 +51,19 @@ def test_hashed_words_are_deterministic_and_null_for_blanks(spark):
     assert blank is None and null is None and nothing == [0.0] * 8
 
 
+def test_hashed_words_are_the_unit_counts_of_the_words(spark):
+    texts = ["  --Ärger, am  Kai!", "a_b c3 c3 \U00010400x\n", "Σας ΣΑΣ 港口。港口", "İ x\u00a0y", "one", ", x", "x ,"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(T.WORD), 0)
+    found = V.embed_column(rows, hashed_words(16)).withColumn("words", words).orderBy("i").collect()
+    for row in found:
+        counts = [0.0] * 16
+        for word in row["words"]:
+            counts[int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % 16] += 1.0
+        unit = spark.createDataFrame([(counts,)], "v array<double>").select(VF.l2_normalize(F.col("v"))).first()[0]
+        assert row["words"] and row["embedding"] == unit
+
+
 def test_payload(spark):
     rows = [
         ("report", 2, "behind the reeds", [0.25, 0.5, -2.0]),
